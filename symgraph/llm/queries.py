@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import piece_fst, quality_rules
+from symgraph.llm import language_id, piece_fst, quality_rules
 from symgraph.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,11 +20,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
