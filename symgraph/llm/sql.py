@@ -35,4 +35,22 @@ WITH w AS (
 SELECT *, (failure_bits & 3) <> 0 AS base_failed, (failure_bits & 255) = 0 AS kept FROM bits
 """
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10}
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, hash(array_to_string(ws[i:i + 34], ' ')) AS h, md5(array_to_string(ws[i:i + 34], ' ')) AS m
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h, m) AS c FROM win) WHERE c > 1
+), cut AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM hit GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS ks
+  FROM d LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op10_quality_rules": OP10}
