@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import language_id, piece_fst, quality_rules, substring_dedup
+from symgraph.llm import jaccard_join, language_id, piece_fst, quality_rules, substring_dedup
 from symgraph.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,6 +28,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
@@ -36,5 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
