@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import jaccard_join, language_id, piece_fst, quality_rules, substring_dedup
+from symgraph.llm import jaccard_join, language_id, line_dedup, piece_fst, quality_rules, substring_dedup
 from symgraph.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +24,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
