@@ -26,6 +26,8 @@ SCHEMA = "key long, kind int, chunk long, part int, blob binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Kind of a chunk's own blob; what else is sent has larger kinds.
 OWN = 0
+#: Of the compression; what is sent is mostly text, and the disk of a shuffle costs more than the time.
+LEVEL = 6
 #: Bytes of blobs in an Arrow batch.
 BATCH = 8 << 20
 
@@ -38,7 +40,7 @@ def n_buckets(spark: SparkSession) -> int:
 
 
 def pack(x) -> bytes:
-    return zstandard.compress(x if isinstance(x, bytes) else pickle.dumps(x, protocol=5), 1)
+    return zstandard.compress(x if isinstance(x, bytes) else pickle.dumps(x, protocol=5), LEVEL)
 
 
 def unpack(blob: bytes) -> bytes:

@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mers.
 
 A window is 35 consecutive words of one document. Windows that start one after another
-and share a minimiser (the least hash of the 8-word runs in them) travel as one packed
+and share a minimiser (the least hash of the 4-word runs in them) travel as one packed
 string to the minimiser's bucket; equal strings of a chunk travel once. The bucket sorts
 the windows of all strings, compares equal hashes word by word, and tells each chunk
 which of its windows start anywhere else. Words covered by such a window are removed.
@@ -31,7 +31,7 @@ from symgraph.llm.buckets import OWN, Row
 from symgraph.llm.textchunk import Words, slices, words
 
 #: Words of a window and of a minimiser.
-SIZE, MINIMISER = 35, 8
+SIZE, MINIMISER = 35, 4
 #: A hot minimiser's least share of all strings is 1 / HOT; fewer than HOT_LEAST strings are never hot.
 HOT, HOT_LEAST = 2000, 64
 STRINGS, WINDOWS = 1, 2
@@ -135,8 +135,8 @@ def _split(hot: np.ndarray, n_buckets: int):
             for b, members in _grouped(home.astype(np.int64), np.arange(len(every))):
                 yield b, WINDOWS, chunk, b, buckets.pack(b"".join(every[i] for i in members.tolist()))
             own = {
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "raw": raw, "length": np.diff(at).astype(np.int32), "words": w.counts(), "first": first.astype(np.int32), "which": which.astype(np.int32),
-                "size": size, "bucket": bucket, "warm": warm, "home": home.astype(np.int32), "hot_windows": hot_windows,
+                "doc_id": batch.column("doc_id").cast(pa.int64()), "raw": raw, "words": w.counts().astype(np.int32), "first": np.diff(first, prepend=0).astype(np.int32), "which": which.astype(np.int32),
+                "size": size.astype(np.int32), "bucket": bucket.astype(np.int32), "warm": warm, "home": home.astype(np.int32), "hot_windows": hot_windows,
             }
             yield ~chunk, OWN, chunk, 0, buckets.pack(own)
 
@@ -206,6 +206,8 @@ def _answers(kind: int, bucket: np.ndarray, members: np.ndarray, size: np.ndarra
 
 
 def _finish(c: dict, rows: list[Row]) -> pa.RecordBatch:
+    c["first"] = np.cumsum(c["first"], dtype=np.int64)
+    c["length"] = np.diff(np.flatnonzero(np.frombuffer(c["raw"], np.uint8) == 32), prepend=-1)
     warm = np.flatnonzero(c["warm"])
     found: list[np.ndarray] = [np.zeros(0, bool)] * len(c["size"])
     for i, f in zip(warm.tolist(), _answers(STRINGS, c["bucket"], warm, c["size"], rows), strict=True):
