@@ -43,6 +43,11 @@ def pack(x) -> bytes:
     return zstandard.compress(x if isinstance(x, bytes) else pickle.dumps(x, protocol=5), LEVEL)
 
 
+def column(values: pa.Array) -> np.ndarray:
+    """A copy of a column for pack(); pickling a slice of an Arrow array takes the whole array along."""
+    return np.array(values.to_pylist(), object)
+
+
 def unpack(blob: bytes) -> bytes:
     return zstandard.decompress(blob)
 

@@ -116,7 +116,7 @@ def _split(hot: np.ndarray, n_buckets: int):
             cut = np.flatnonzero(np.diff(home[order])) + 1
             for own in np.split(order, cut) if len(order) else []:
                 yield int(home[own[0]]), TOKENS, chunk, int(home[own[0]]), found[own].tobytes()
-            yield ~chunk, OWN, chunk, 0, buckets.pack({"doc_id": batch.column("doc_id").cast(pa.int64()), "text": pc.fill_null(batch.column("text"), "")})
+            yield ~chunk, OWN, chunk, 0, buckets.pack({"doc_id": buckets.column(batch.column("doc_id")), "text": buckets.column(pc.fill_null(batch.column("text"), ""))})
 
     return split
 
@@ -133,7 +133,7 @@ def _reply(key: int, rows: list[Row]) -> Iterator[Row]:
 
 def _finish(hot: np.ndarray):
     def finish(c: dict, rows: list[Row]) -> pa.RecordBatch:
-        sizes, tokens = shingle_sets(c["text"], hot)
+        sizes, tokens = shingle_sets(pa.array(c["text"], pa.large_string()), hot)
         n, looked = _prefix_tokens(sizes, tokens)
         found, count = np.unique(looked, return_counts=True)
         shared = np.concatenate([found[count > 1], *(np.frombuffer(r[4], _U) for r in rows)])
@@ -149,7 +149,7 @@ def _finish(hot: np.ndarray):
         sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(tokens[np.repeat(live, sizes)].view(np.int64)))
         return pa.RecordBatch.from_arrays(
             [
-                c["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([p.tobytes() if x else None for p, x in zip(points, live, strict=True)], pa.binary()),
+                pa.array(c["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([p.tobytes() if x else None for p, x in zip(points, live, strict=True)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept_n))), pa.int32()), pa.array(looked[keep].view(np.int64))), sets,
             ],
             [x.split()[0] for x in SCHEMA.split(", ")],
