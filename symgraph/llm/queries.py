@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, jaccard_join, language_id, line_dedup, piece_fst, quality_rules, sharding, substring_dedup, url_filter
+from symgraph.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, piece_fst, quality_rules, sharding, substring_dedup, url_filter
 from symgraph.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -32,6 +32,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,

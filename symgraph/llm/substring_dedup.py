@@ -135,7 +135,7 @@ def _split(hot: np.ndarray, n_buckets: int):
             for b, members in _grouped(home.astype(np.int64), np.arange(len(every))):
                 yield b, WINDOWS, chunk, b, buckets.pack(b"".join(every[i] for i in members.tolist()))
             own = {
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "raw": raw, "words": w.counts().astype(np.int32), "first": np.diff(first, prepend=0).astype(np.int32), "which": which.astype(np.int32),
+                "doc_id": buckets.column(batch.column("doc_id")), "raw": raw, "words": w.counts().astype(np.int32), "first": np.diff(first, prepend=0).astype(np.int32), "which": which.astype(np.int32),
                 "size": size.astype(np.int32), "bucket": bucket.astype(np.int32), "warm": warm, "home": home.astype(np.int32), "hot_windows": hot_windows,
             }
             yield ~chunk, OWN, chunk, 0, buckets.pack(own)
@@ -231,7 +231,7 @@ def _finish(c: dict, rows: list[Row]) -> pa.RecordBatch:
     at = np.concatenate(([0], np.cumsum(np.where(gone, 0, c["length"]))))[word]
     texts = [kept[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
-        [c["doc_id"], pa.array(c["words"], pa.int64()), pa.array(np.diff(gone_to[word]), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts], pa.string())],
+        [pa.array(c["doc_id"], pa.int64()), pa.array(c["words"], pa.int64()), pa.array(np.diff(gone_to[word]), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts], pa.string())],
         [x.split()[0] for x in SCHEMA.split(", ")],
     )
 
