@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that a question's terms leave out.
 STOP_WORDS = (
@@ -59,7 +60,7 @@ def utf16_units(text: str) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _slug(names: pd.Series) -> pd.Series:
     plain = names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
     return plain.str.replace(r"[^a-z0-9]+", "-", regex=True).str.strip("-")
