@@ -8,9 +8,12 @@ Tokens of a set are hashed into 64 groups and the group counts are a point: the
 the coordinates' minima bounds the overlap of two sets from above, and that of an
 R-tree's upper corners the overlap of all below. Trees are built for sets that share
 one of their least tokens, which linked sets always do (of n tokens, the first
-n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in it). Tokens
-that occur once are told from the others in buckets first (see buckets), so that only
-those that two documents share travel as rows. Surviving pairs are verified on the sets.
+n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in it). Chunks
+send these tokens to buckets in packed blobs, and only tokens that two different sets
+hold become rows. Surviving pairs are verified on the shingles of their texts, which are
+read again for the sets in question alone.
+
+A set is known by the 64-bit hash of its tokens.
 
 Hot groups: equal sets count as one; a token of many sets is dealt into blocks. The
 first rounds take one candidate of another component for each set, so a group of near
@@ -29,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import buckets
-from symgraph.llm.buckets import OWN, Row
+from symgraph.llm.buckets import Row
+from symgraph.llm.checked import join_small
 from symgraph.llm.components import components
 from symgraph.llm.textchunk import mix, slices, words
 from symgraph.session import staged
@@ -49,7 +52,8 @@ HOT, HOT_LEAST, HOT_MOST = 1000, 64, 100_000
 BLOCK, LEAF = 256, 24
 ROUNDS = 3
 TOKENS = 1
-SCHEMA = "doc_id long, n_shingles long, set_hash binary, point binary, tokens array<long>, shingles array<long>"
+SETS = "doc_id long, n_shingles long, id long, point binary"
+ROWS = "token long, id long, n_sets long"
 _U = np.uint64
 _TOP = _U(1 << 63)
 
@@ -104,58 +108,68 @@ def _prefix_tokens(sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, n
     return n, tokens[at]
 
 
-def _split(hot: np.ndarray, n_buckets: int):
+def set_ids(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """A hash of each set; 0 for an empty one."""
+    to = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(np.sort(tokens[a:b]).tobytes()) or 1 if b > a else 0 for a, b in zip(to[:-1], to[1:], strict=True)], _U).reshape(-1)
+
+
+def _sets(hot: np.ndarray):
+    """Documents (doc_id, text) to SETS; an empty set has no id and no point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, tokens = shingle_sets(batch.column("text"), hot)
+            group = (mix(tokens) % _U(GROUPS)).astype(np.int64)
+            points = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype("<u4")
+            ids, none = set_ids(sizes, tokens).view(np.int64), sizes == 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64(), mask=none), pa.array([None if x else p.tobytes() for p, x in zip(points, none, strict=True)], pa.binary())],
+                ["doc_id", "n_shingles", "id", "point"],
+            )
+
+    return run
+
+
+def _send(hot: np.ndarray, n_buckets: int):
+    """The distinct (token, set id) of a chunk, a blob for each bucket."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
         for seq, batch in enumerate(slices(batches)):
             chunk = buckets.chunk_id(seq)
             sizes, tokens = shingle_sets(batch.column("text"), hot)
-            _, looked = _prefix_tokens(sizes, tokens)
-            found = np.unique(looked)
-            home = (mix(found) % _U(n_buckets)).astype(np.int64)
+            ids = set_ids(sizes, tokens)
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            n, looked = _prefix_tokens(sizes, tokens)
+            keep = np.repeat(first & (sizes > 0), n)
+            looked, owner = looked[keep], np.repeat(ids, n)[keep]
+            home = (mix(looked) % _U(n_buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             cut = np.flatnonzero(np.diff(home[order])) + 1
             for own in np.split(order, cut) if len(order) else []:
-                yield int(home[own[0]]), TOKENS, chunk, int(home[own[0]]), found[own].tobytes()
-            yield ~chunk, OWN, chunk, 0, buckets.pack({"doc_id": buckets.column(batch.column("doc_id")), "text": buckets.column(pc.fill_null(batch.column("text"), ""))})
+                b = int(home[own[0]])
+                yield b, TOKENS, chunk, b, np.stack((looked[own], owner[own])).tobytes()
 
     return split
 
 
-def _reply(key: int, rows: list[Row]) -> Iterator[Row]:
-    parts = [np.frombuffer(r[4], _U) for r in rows]
-    _, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    found, to = n[inverse] > 1, 0
-    for row, part in zip(rows, parts, strict=True):
-        mine, to = found[to : to + len(part)], to + len(part)
-        if mine.any():
-            yield row[2], TOKENS, row[2], row[3], part[mine].tobytes()
-
-
-def _finish(hot: np.ndarray):
-    def finish(c: dict, rows: list[Row]) -> pa.RecordBatch:
-        sizes, tokens = shingle_sets(pa.array(c["text"], pa.large_string()), hot)
-        n, looked = _prefix_tokens(sizes, tokens)
-        found, count = np.unique(looked, return_counts=True)
-        shared = np.concatenate([found[count > 1], *(np.frombuffer(r[4], _U) for r in rows)])
-        keep = np.isin(looked, shared)
-        owner = np.repeat(np.arange(len(sizes)), n)[keep]
-        kept_n = np.bincount(owner, minlength=len(sizes))
-        group = (mix(tokens) % _U(GROUPS)).astype(np.int64)
-        points = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype("<u4")
-        to = np.concatenate(([0], np.cumsum(sizes)))
-        live = kept_n > 0
-        digests = [xxhash.xxh3_128_digest(np.sort(tokens[a:b]).tobytes()) if b > a else None for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
-        held = np.where(live, sizes, 0)
-        sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(tokens[np.repeat(live, sizes)].view(np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(c["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([p.tobytes() if x else None for p, x in zip(points, live, strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept_n))), pa.int32()), pa.array(looked[keep].view(np.int64))), sets,
-            ],
-            [x.split()[0] for x in SCHEMA.split(", ")],
-        )
-
-    return finish
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's blobs to ROWS of the tokens that two sets hold."""
+    for _, group in buckets.by_key(batches):
+        parts = [np.frombuffer(r[4], _U).reshape(2, -1) for r in group]
+        token, owner = np.concatenate(parts, 1)
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        token, owner = token[new], owner[new]
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        n = np.repeat(np.diff(np.concatenate((begin, [len(token)]))), np.diff(np.concatenate((begin, [len(token)]))))
+        token, owner, n = token[n > 1], owner[n > 1], n[n > 1]
+        for a in range(0, len(token), 20_000):
+            z = slice(a, a + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(token[z].view(np.int64)), pa.array(owner[z].view(np.int64)), pa.array(n[z], pa.int64())], ["token", "id", "n_sets"])
 
 
 class CountTree:
@@ -205,13 +219,13 @@ class CountTree:
 
 
 def _candidates(best: bool):
-    """Rows (token, block, side, node, component, n_shingles, point) sorted by block to pairs (a, b, worth) of nodes of different components.
+    """Rows (token, block, side, id, component, n_shingles, point) sorted by block to pairs (a, b, worth) of sets of different components.
 
-    best: one for each node in a block. side: 0 and 1 meet only each other, where a token's blocks are taken two by two.
+    best: one for each set in a block. side: 0 and 1 meet only each other, where a token's blocks are taken two by two.
     """
 
     def of_block(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        node, component, n, side = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+        node, component, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side"))
         if len(node) < 2 or (component == component[0]).all():
             return
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
@@ -259,7 +273,7 @@ def _candidates(best: bool):
 def _blocks(rows: DataFrame, best: bool) -> DataFrame:
     """Rows with token, block and side: of a token with many sets, each in one of many blocks (best), or in every pair of blocks that its own is in."""
     parts = F.ceil(F.col("n_sets") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", "token"), F.col("parts")).cast("int"))
     if best:
         return rows.withColumn("block", F.col("own")).withColumn("side", F.lit(0))
     own, other = F.col("own"), F.col("other")
@@ -269,54 +283,77 @@ def _blocks(rows: DataFrame, best: bool) -> DataFrame:
 
 
 def _join_in_trees(rows: DataFrame, best: bool) -> DataFrame:
-    dealt = _blocks(rows, best).select("token", "block", "side", "node", "component", "n_shingles", "point")
+    dealt = _blocks(rows, best).select("token", "block", "side", "id", "component", "n_shingles", "point")
     return dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_candidates(best), "a long, b long, worth double")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the sets (node, shingles)."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("o", overlap).filter(F.lit(PART) * F.col("o") >= F.lit(WHOLE) * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b").distinct()
+def _packed(hot: np.ndarray):
+    """Documents (text) to (id, packed): the words of each set's text, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = set_ids(*shingle_sets(batch.column("text"), hot)).view(np.int64)
+            texts = [buckets.pack(b" ".join((t or "").encode().lower().split())) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary())], ["id", "packed"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, pa, pb) to the pairs (a, b) that link."""
+    none = np.zeros(0, _U)
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("pa"), batch.column("pb"), strict=True):
+            sizes, tokens = shingle_sets(pa.array([buckets.unpack(x.as_py()), buckets.unpack(y.as_py())], pa.large_binary()).cast(pa.large_string()), none)
+            overlap = int(sizes.sum()) - len(np.unique(tokens))
+            keep.append(PART * overlap >= WHOLE * (int(sizes.sum()) - overlap))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The pairs (a, b) of set ids that link. sets: (id, node), node a document with the set."""
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "node"), "id").select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    texts = join_small(docs, wanted, "doc_id", "left_semi").select("text").mapInArrow(_packed(hot), "id long, packed binary").dropDuplicates(["id"])
+    texts = staged(texts, "texts")
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
+    return both.mapInArrow(_verified, "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select("doc_id", "text")
     hot = hot_tokens(docs)
-    sent = buckets.send(docs, _split(hot, buckets.n_buckets(docs.sparkSession)))
-    every = staged(buckets.collect(buckets.answer(sent, _reply), _finish(hot), SCHEMA), "sets")
-    real = every.filter(F.col("point").isNotNull() & F.col("doc_id").isNotNull())
-    classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    classes = staged(classes, "classes")
-    sets = real.join(classes.withColumnRenamed("set_hash", "h"), (F.col("set_hash") == F.col("h")) & (F.col("doc_id") == F.col("node")))
-    sets = staged(sets.select("node", "set_hash", "n_shingles", "point", "tokens", "shingles").dropDuplicates(["node", "set_hash"]), "nodes")
-    tokens = sets.select("node", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n_sets")).filter(F.col("n_sets") > 1)
-    rows = tokens.join(counts, "token").join(sets.select("node", "n_shingles", "point"), "node")
-    rows = staged(rows.select("token", "n_sets", "node", "n_shingles", "point"), "rows")
-    links, found = None, None
+    n = buckets.n_buckets(docs.sparkSession)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    every = staged(docs.mapInArrow(_sets(hot), SETS), "sets")
+    real = every.filter("id IS NOT NULL AND doc_id IS NOT NULL")
+    sets = staged(real.groupBy("id").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("point").alias("point")), "classes")
+    shared = buckets.send(named, _send(hot, n)).repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_shared, ROWS)
+    rows = staged(shared.join(sets.select("id", "n_shingles", "point"), "id"), "rows")
+    # Documents that share a doc_id are one vertex.
+    twice = real.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("a", "b")
+    links, found = staged(twice, "links"), None
     for best in [True] * ROUNDS + [False]:
         if found is None:
-            now = rows.withColumn("component", F.col("node"))
+            now = rows.withColumn("component", F.col("id"))
         else:
-            now = rows.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+            now = rows.join(found.withColumnRenamed("component", "c"), rows["id"] == found["node"], "left").withColumn("component", F.coalesce("c", "id")).drop("c", "node")
             mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
             now = now.join(mixed, "token")
         pairs = _join_in_trees(now, best)
         if best:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("worth", -F.col("b"))).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = staged(verify(pairs.distinct(), sets), "links")
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("worth", -F.col("b").cast("decimal(20,0)"))).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        new = staged(verify(staged(pairs.select("a", "b").distinct(), "pairs"), docs, sets, hot), "links")
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
+            links = links.unionByName(new)
             found = staged(components(links, "a", "b"), "components")
-    out = every.join(classes, "set_hash", "left").withColumn("node", F.coalesce("node", "doc_id"))
     if found is None:
-        return out.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
-    out = out.join(found.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("node"))).alias("component_id"))
+        found = staged(components(links, "a", "b"), "components")
+    least = sets.join(found, sets["id"] == found["node"]).select("component", sets["node"].alias("m")).groupBy("component").agg(F.min("m").alias("m"))
+    named_sets = sets.select("id", "node").join(found.select(F.col("node").alias("id"), "component"), "id", "left").join(least, "component", "left").select("id", F.coalesce("m", "node").alias("component_id"))
+    out = every.join(named_sets, "id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
