@@ -23,7 +23,7 @@ _U = np.uint64
 _C = _U(0x9E3779B97F4A7C15)
 _C_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _D = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
+_BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _C, _U), np.full(size, _C_INV, _U)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(factor: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, factor, _U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=_U)
+
+
+#: Powers up to a block's length; those of whole blocks are made where they are needed, so that long texts take little memory.
+_UP, _DOWN = _powers(_C, _BLOCK), _powers(_C_INV, _BLOCK)
+_C_BLOCK, _C_INV_BLOCK = (_U(pow(int(c), _BLOCK, 1 << 64)) for c in (_C, _C_INV))
 
 
 @dataclass
@@ -66,10 +68,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+        n = len(self.data)
+        total = np.zeros(n + 1, _U)
+        blocks = -(-n // _BLOCK)
+        for a, factor in zip(range(0, n, _BLOCK), _powers(_C_BLOCK, blocks), strict=True):
+            part = total[a + 1 : a + 1 + _BLOCK]
+            np.add(self.data[a : a + _BLOCK], _U(1), out=part, dtype=_U)
+            part *= _UP[: len(part)]
+            part *= factor
+        np.cumsum(total, out=total)
+        down = _DOWN[self.start & (_BLOCK - 1)] * _powers(_C_INV_BLOCK, blocks + 1)[self.start >> 16]
+        return mix((total[self.end] - total[self.start]) * down + (self.end - self.start).astype(_U))
 
     def grams(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash of each run of size words of one document, and the runs' first words."""
