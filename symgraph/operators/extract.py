@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.functions import extract_javascript
 from symgraph.functions.extract_python import extract
 from symgraph.sources.files import LANGUAGES
 
@@ -22,14 +23,19 @@ _COLUMNS = [x.split()[0] for x in TAGGED.split(", ")]
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """Tagged rows (node, raw) of files (path, content, file_ord). Python is parsed; other files give their file node."""
+    """Tagged rows (node, raw) of files (path, content, file_ord). Python is parsed, JavaScript and TypeScript scanned; other files give their file node."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content, order in zip(frame["path"], frame["content"], frame["file_ord"], strict=True):
-                is_python = LANGUAGES.get("." + path.rsplit(".", 1)[-1].lower()) == "python"
-                nodes, raw = extract(path, content) if is_python else (_only_file(path, content), [])
+                language = LANGUAGES.get("." + path.rsplit(".", 1)[-1].lower())
+                if language == "python":
+                    nodes, raw = extract(path, content)
+                elif language in ("javascript", "typescript", "tsx"):
+                    nodes, raw = extract_javascript.extract(path, content)
+                else:
+                    nodes, raw = _only_file(path, content), []
                 rows += [{"tag": "node", "file_ord": order, "seq": i, **n} for i, n in enumerate(nodes)]
                 rows += [{"tag": "raw", "file_ord": order, **r} for r in raw]
             out = pd.DataFrame(rows, columns=_COLUMNS)

@@ -16,6 +16,8 @@ from symgraph.session import staged
 
 #: Suffixes tried for a module, in order.
 SUFFIXES = ("", ".py", ".pyi", "/__init__.py")
+SCRIPT_SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
+SCRIPT = r"\.[mc]?[jt]sx?$"
 BINDABLE = ("class", "function", "constant", "variable", "interface", "type", "enum", "struct", "trait", "module")
 PASS = 1 << 60
 
@@ -26,8 +28,20 @@ def _parent_of(ident: str) -> Column:
     return F.when(scope.contains("."), F.concat(path, F.lit("#"), F.regexp_replace(scope, r"\.[^.]*$", ""))).otherwise(path)
 
 
+def _script_targets(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """file, specifier, tier, target of relative specifiers; one that climbs out of the tree means nothing."""
+    segments = F.split(F.concat_ws("/", F.regexp_replace("file", "/?[^/]*$", ""), "specifier"), "/")
+    step = "CASE WHEN x IN ('', '.') OR acc IS NULL THEN acc WHEN x <> '..' THEN concat(acc, array(x)) WHEN size(acc) = 0 THEN NULL ELSE slice(acc, 1, size(acc) - 1) END"
+    stems = specs.withColumn("segments", segments).withColumn("stem", F.array_join(F.expr(f"aggregate(segments, cast(array() as array<string>), (acc, x) -> {step})"), "/")).filter("stem IS NOT NULL")
+    plain = [F.struct(F.lit(i).alias("tier"), F.ltrim(F.concat("stem", F.lit(x)), F.lit("/")).alias("path")) for i, x in enumerate(SCRIPT_SUFFIXES)]
+    other = [F.struct(F.lit(20 + i).alias("tier"), F.concat(F.regexp_replace("stem", r"\.[mc]?jsx?$", ""), F.lit(x)).alias("path")) for i, x in enumerate(SCRIPT_SUFFIXES[1:7])]
+    return stems.select("file", "specifier", F.inline(F.array(*plain, *other))).join(files.select("path"), "path").select("file", "specifier", "tier", F.col("path").alias("target"))
+
+
 def module_targets(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """file, specifier, target: the file that each distinct specifier of a file means. Candidates carry their priority; the unique suffix comes last."""
+    """file, specifier, target: the file that each distinct specifier of a file means. Candidates carry their priority; Python's unique suffix comes last."""
+    is_script = F.col("file").rlike(SCRIPT)
+    scripts, specs = specs.filter(is_script & F.col("specifier").rlike(r"^\.\.?(/|$)")), specs.filter(~is_script)
     dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
     rest = F.replace(F.regexp_replace("specifier", r"^\.+", ""), F.lit("."), F.lit("/"))
     folder = F.regexp_replace("file", "/?[^/]*$", "")
@@ -43,7 +57,7 @@ def module_targets(specs: DataFrame, files: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))
     suffixes = files.select(F.col("path").alias("target"), F.explode(ends).alias("path"))
     loose = each.filter("absolute").join(suffixes, "path").groupBy("file", "specifier").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
-    found = exact.unionByName(loose.filter("n = 1").select("file", "specifier", F.lit(9).alias("tier"), "target"))
+    found = exact.unionByName(loose.filter("n = 1").select("file", "specifier", F.lit(99).alias("tier"), "target")).unionByName(_script_targets(scripts, files))
     key = F.concat_ws("\0", "file", "specifier")
     return tiered(found.withColumn("k", key), "k").groupBy("file", "specifier").agg(F.min("target").alias("target"))
 
