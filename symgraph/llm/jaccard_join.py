@@ -53,7 +53,7 @@ BLOCK, LEAF = 256, 24
 ROUNDS = 3
 TOKENS = 1
 SETS = "doc_id long, n_shingles long, id long, point binary"
-ROWS = "token long, id long, n_sets long"
+ROWS = "token long, id long, n_sets long, members binary"
 _U = np.uint64
 _TOP = _U(1 << 63)
 
@@ -155,7 +155,7 @@ def _send(hot: np.ndarray, n_buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's blobs to ROWS of the tokens that two sets hold."""
+    """A bucket's blobs to ROWS of the tokens that two sets hold; a token's first row has a 128-bit hash of its sets."""
     for _, group in buckets.by_key(batches):
         parts = [np.frombuffer(r[4], _U).reshape(2, -1) for r in group]
         token, owner = np.concatenate(parts, 1)
@@ -166,10 +166,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, owner = token[new], owner[new]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         n = np.repeat(np.diff(np.concatenate((begin, [len(token)]))), np.diff(np.concatenate((begin, [len(token)]))))
-        token, owner, n = token[n > 1], owner[n > 1], n[n > 1]
+        members = np.full(len(token), None, object)
+        for i in begin[n[begin] > 1].tolist():
+            members[i] = xxhash.xxh3_128_digest(owner[i : i + int(n[i])].tobytes())
+        token, owner, members, n = token[n > 1], owner[n > 1], members[n > 1], n[n > 1]
         for a in range(0, len(token), 20_000):
             z = slice(a, a + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[z].view(np.int64)), pa.array(owner[z].view(np.int64)), pa.array(n[z], pa.int64())], ["token", "id", "n_sets"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[z].view(np.int64)), pa.array(owner[z].view(np.int64)), pa.array(n[z], pa.int64()), pa.array(members[z].tolist(), pa.binary())], ["token", "id", "n_sets", "members"])
 
 
 class CountTree:
@@ -224,48 +227,56 @@ def _candidates(best: bool):
     best: one for each set in a block. side: 0 and 1 meet only each other, where a token's blocks are taken two by two.
     """
 
-    def of_block(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        node, component, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side"))
-        if len(node) < 2 or (component == component[0]).all():
-            return
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
-        own = component
-        found = [(i, j, b / (n[i] + n[j])) for i, j, b in CountTree(points, n).pairs(own)]
+    def of_block(ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if len(ids) < 2 or (component == component[0]).all():
+            return None
+        found = [(i, j, b / (n[i] + n[j])) for i, j, b in CountTree(points, n).pairs(component)]
         if not found:
-            return
+            return None
         i, j, worth = (np.concatenate(x) for x in zip(*found, strict=True))
         if side.any():
             cross = side[i] != side[j]
             i, j, worth = i[cross], j[cross], worth[cross]
-        if best:
-            i, j, worth = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((worth, worth))
-            order = np.lexsort((node[j], -worth, i))
-            order = order[np.concatenate(([True], np.diff(i[order]) > 0))] if len(order) else order
-            i, j, worth = i[order], j[order], worth[order]
-            yield node[i], node[j], worth
-        else:
-            yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), worth
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        if not best:
+            return np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), worth
+        i, j, worth = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((worth, worth))
+        order = np.lexsort((ids[j], -worth, i))
+        order = order[np.concatenate(([True], np.diff(i[order]) > 0))] if len(order) else order
+        return ids[i[order]], ids[j[order]], worth[order]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Columns of each block; one may go on in the next batch."""
+        held: list[list[np.ndarray]] = []
         key = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if sum(b.num_rows for b in held) > 1:
-                for a, b, worth in of_block(pa.Table.from_batches(held)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(worth)], ["a", "b", "worth"])
-            held.clear()
-
         for batch in batches:
+            if not batch.num_rows:
+                continue
             token, block = batch.column("token").to_numpy(), batch.column("block").to_numpy()
-            cut = np.concatenate(([0], np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1, [len(token)]))
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b > a:
-                    if key != (token[a], block[a]):
-                        yield from flush()
-                        key = (token[a], block[a])
-                    held.append(batch.slice(a, b - a))
-        yield from flush()
+            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+            columns = [*(batch.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side")), points]
+            cut = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(token)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if held and key != (token[a], block[a]):
+                    yield held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                key = (token[a], block[a])
+                held.append([c[a:b] for c in columns])
+        if held:
+            yield held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b", "worth"])
+        for columns in blocks(batches):
+            if found := of_block(*columns):
+                held.append(found)
+                size += len(found[0])
+            if size > 20_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return run
 
@@ -330,7 +341,11 @@ def link(docs: DataFrame) -> DataFrame:
     real = every.filter("id IS NOT NULL AND doc_id IS NOT NULL")
     sets = staged(real.groupBy("id").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("point").alias("point")), "classes")
     shared = buckets.send(named, _send(hot, n)).repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_shared, ROWS)
-    rows = staged(shared.join(sets.select("id", "n_shingles", "point"), "id"), "rows")
+    shared = staged(shared, "shared")
+    # Tokens with the same sets would give the same pairs: one of them stays.
+    single = shared.filter("members IS NOT NULL").groupBy("members").agg(F.min("token").alias("token")).select("token")
+    rows = shared.drop("members").join(single, "token", "left_semi").join(sets.select("id", "n_shingles", "point"), "id")
+    rows = staged(rows, "rows")
     # Documents that share a doc_id are one vertex.
     twice = real.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("a", "b")
     links, found = staged(twice, "links"), None
