@@ -6,7 +6,8 @@ size and the least doc_id of its component.
 
 Tokens of a set are hashed into 64 groups and the group counts are a point: the sum of
 the coordinates' minima bounds the overlap of two sets from above, and that of an
-R-tree's upper corners the overlap of all below. Trees are built for sets that share
+R-tree's upper corners the overlap of all below. What survives is bounded again by 256
+groups, of which each of the 64 is four. Trees are built for sets that share
 one of their least tokens, which linked sets always do (of n tokens, the first
 n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in it). Chunks
 send these tokens to buckets in packed blobs, and only tokens that two different sets
@@ -43,7 +44,7 @@ from symgraph.llm.components import components
 from symgraph.llm.textchunk import mix, slices, words
 from symgraph.session import staged
 
-SIZE, GROUPS = 5, 64
+SIZE, GROUPS, FINE = 5, 64, 256
 #: Links need PART * overlap >= WHOLE * union.
 PART, WHOLE = 100, 80
 #: Tokens held by more than 1 / HOT of all documents (64 at least) come last in the order; so many of them at most.
@@ -120,8 +121,8 @@ def _sets(hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, tokens = shingle_sets(batch.column("text"), hot)
-            group = (mix(tokens) % _U(GROUPS)).astype(np.int64)
-            points = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype("<u4")
+            group = (mix(tokens) % _U(FINE)).astype(np.int64)
+            points = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * FINE + group, minlength=len(sizes) * FINE).reshape(-1, FINE).astype("<u4")
             ids, none = set_ids(sizes, tokens).view(np.int64), sizes == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64(), mask=none), pa.array([None if x else p.tobytes() for p, x in zip(points, none, strict=True)], pa.binary())],
@@ -230,7 +231,12 @@ def _candidates(best: bool):
     def of_block(ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if len(ids) < 2 or (component == component[0]).all():
             return None
-        found = [(i, j, b / (n[i] + n[j])) for i, j, b in CountTree(points, n).pairs(component)]
+        found = []
+        for i, j, _ in CountTree(points.reshape(-1, GROUPS, FINE // GROUPS).sum(2), n).pairs(component):
+            both, bound = n[i] + n[j], np.minimum(points[i], points[j]).sum(1, dtype=np.int64)
+            ok = (PART + WHOLE) * bound >= WHOLE * both
+            if ok.any():
+                found.append((i[ok], j[ok], bound[ok] / both[ok]))
         if not found:
             return None
         i, j, worth = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -252,7 +258,7 @@ def _candidates(best: bool):
             if not batch.num_rows:
                 continue
             token, block = batch.column("token").to_numpy(), batch.column("block").to_numpy()
-            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<u4").reshape(-1, FINE)
             columns = [*(batch.column(c).to_numpy() for c in ("id", "component", "n_shingles", "side")), points]
             cut = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(token)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -348,7 +354,7 @@ def link(docs: DataFrame) -> DataFrame:
     rows = staged(rows, "rows")
     # Documents that share a doc_id are one vertex.
     twice = real.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("a", "b")
-    links, found = staged(twice, "links"), None
+    links, found, tried = staged(twice, "links"), None, None
     for best in [True] * ROUNDS + [False]:
         if found is None:
             now = rows.withColumn("component", F.col("id"))
@@ -359,7 +365,12 @@ def link(docs: DataFrame) -> DataFrame:
         pairs = _join_in_trees(now, best)
         if best:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("worth", -F.col("b").cast("decimal(20,0)"))).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = staged(verify(staged(pairs.select("a", "b").distinct(), "pairs"), docs, sets, hot), "links")
+        pairs = pairs.select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")  # what failed once fails again
+        pairs = staged(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = staged(verify(pairs, docs, sets, hot), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             found = staged(components(links, "a", "b"), "components")
