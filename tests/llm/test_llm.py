@@ -125,6 +125,21 @@ def test_line_dedup(docs, no_docs):
     assert line_dedup.dedup(no_docs).count() == 0
 
 
+def test_line_dedup_verifies_all_lines_of_a_band(spark):
+    """Similar lines in pairs under one template: unlike lines share bands, and few are similar to the one that comes first."""
+    rng = random.Random(3)
+    own = lambda n: [f"{rng.randrange(10**6):06d}q" for _ in range(n)]
+    template, texts = [f"t{i:05d}x" for i in range(40)], []
+    for _ in range(150):
+        shared = own(8)
+        texts += [" ".join(template + shared + own(4)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["id"]: set(r["keys"]) for r in line_dedup.with_keys(line_dedup.with_shingles(docs.toDF("id", "line")).select("id", "h")).collect()}
+    want = {i + 1 for i in range(0, len(texts), 2) if keys[i] & keys[i + 1]}
+    assert len(want) > 120
+    assert {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()} == want
+
+
 # 4
 
 
