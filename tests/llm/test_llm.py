@@ -140,6 +140,17 @@ def test_line_dedup_verifies_all_lines_of_a_band(spark):
     assert {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()} == want
 
 
+def test_line_dedup_reads_whole_lines(spark):
+    """Lines without blanks that begin alike are different, and those that differ in their beginning alone are not."""
+    rng = random.Random(4)
+    tail = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    copy, han, stamp = tail(150), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(120)), tail(60)
+    texts = [f"https://{tail(12)}.example/{tail(20)}", f"https://{tail(12)}.example/{tail(20)}", han[:8] + han[20:60], han[:8] + han[60:], f"2026-11-01T{tail(30)}", f"2026-11-02T{tail(30)}", "AB" + copy, "xyz12" + copy, han[60:90] + "\u2028" + han[90:], "x\u2028 z", "x\u2028 y", f"1 {stamp}", f"\t1\x0b {stamp} "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed > 0").collect()}
+    assert got == {7, 12}
+
+
 # 4
 
 
