@@ -125,8 +125,10 @@ def test_line_dedup(docs, no_docs):
     assert line_dedup.dedup(no_docs).count() == 0
 
 
-def test_line_dedup_verifies_all_lines_of_a_band(spark):
+@pytest.mark.parametrize("small", [2, 1000])
+def test_line_dedup_verifies_all_lines_of_a_band(spark, monkeypatch, small):
     """Similar lines in pairs under one template: unlike lines share bands, and few are similar to the one that comes first."""
+    monkeypatch.setattr(line_dedup, "SMALL", small, raising=False)
     rng = random.Random(3)
     own = lambda n: [f"{rng.randrange(10**6):06d}q" for _ in range(n)]
     template, texts = [f"t{i:05d}x" for i in range(40)], []
