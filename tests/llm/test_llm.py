@@ -209,6 +209,29 @@ def test_attention_is_causal_and_sums_to_one():
     assert np.allclose(m.log_probs(long)[1], m.log_probs([ids[:10]])[0], rtol=1e-4)
 
 
+def test_model_counts_all_pairs_and_grows(spark, monkeypatch):
+    """Word order that only documents outside the sampled windows have is learned; blocks of windows grow with the documents."""
+    import numpy as np
+
+    rng, seen = random.Random(6), []
+    texts = [" ".join(rng.choice(["red", "blue", "green", "one", "two"]) for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for name, value in (("SAMPLE_DOCS", 8), ("DOCS_PER_BLOCK", 40), ("STEPS", 3), ("SAMPLE_WINDOWS", 1), ("PAIRS_AT_ONCE", 5)):
+        monkeypatch.setattr(lm_scoring, name, value, raising=False)
+    plain = lm_scoring._gradient
+    monkeypatch.setattr(lm_scoring, "_gradient", lambda *a: seen.append(1) or plain(*a))
+    ranks = lm_scoring.default_ranks()
+    m = lm_scoring.learn(docs, ranks)
+    assert len(seen) == 6
+    ids = [np.concatenate(([lm_scoring.END], x)) for x in lm_scoring.subwords([t.encode() for t in texts], ranks)]
+    after = np.zeros_like(m.weights["last"], dtype=np.float64)
+    for x in ids:
+        np.add.at(after, (m.row[x[:-1]], m.cls[x[1:]]), 1)
+    total = np.bincount(m.cls, np.bincount(np.concatenate([x[1:] for x in ids]), minlength=lm_scoring.VOCABULARY) + 0.01, after.shape[1]) + 1e-3
+    want = np.log((after + lm_scoring.PRIOR * total / total.sum()) / (after.sum(1, keepdims=True) + lm_scoring.PRIOR))
+    assert np.allclose(m.weights["last"], want, atol=1e-4)
+
+
 # 6
 
 
