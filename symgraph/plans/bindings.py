@@ -208,15 +208,23 @@ BROKEN = """bn AS (SELECT CASE WHEN o_orderkey % 500 = 0 THEN 'dup' ELSE 'o/' ||
   UNION ALL SELECT 'id outside path', id FROM bn WHERE id <> path AND NOT starts_with(id, path || '#') UNION ALL SELECT 'span', id FROM bn WHERE start_line < 1 OR end_line < start_line
   UNION ALL SELECT 'unknown source', source FROM be WHERE source NOT IN (SELECT id FROM bn) UNION ALL SELECT 'unknown target', target FROM be WHERE relation = 'calls' AND target NOT IN (SELECT id FROM bn))""")
 def invariants(spark, d):
-    key, o = F.col("o_orderkey"), table(spark, d, "orders").filter("o_orderkey < 1400")
+    return _invariants(table(spark, d, "orders").filter("o_orderkey < 1400"), table(spark, d, "lineitem").filter("l_orderkey < 1500"))
+
+
+def _invariants(o, lines):
+    key = F.col("o_orderkey")
     name = F.concat(F.lit("o/"), key.cast("string"))
     nodes = o.select(F.when(key % 500 == 0, "dup").otherwise(name).alias("id"), F.when(key % 700 == 1, "/abs").otherwise(name).alias("path"), (key % 9).alias("start_line"), (key % 11).alias("end_line"))
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 1500")
     relation = F.when(F.col("l_linenumber") % 2 == 0, "imports").otherwise("calls")
     edges = lines.select(F.concat(F.lit("o/"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("o/"), (F.col("l_partkey") * 2).cast("string")).alias("target"), relation.alias("relation")).distinct()
     return graph.validate(nodes, edges)
 
 
+@query(ORACLES["invariants"].replace(" WHERE o_orderkey < 1400", "").replace(" WHERE l_orderkey < 1500", ""))
+def invariants_whole(spark, d):
+    return _invariants(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
 @query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS owner FROM orders WHERE o_orderkey % 10 <> 3),
   b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_custkey + (o_orderkey % 14 = 0)::INT AS owner FROM orders WHERE o_orderkey % 10 <> 4),
   j AS (SELECT coalesce(a.id, b.id) AS id, a.id IS NULL AS added, b.id IS NULL AS gone, a.status IS DISTINCT FROM b.status AS s, a.owner IS DISTINCT FROM b.owner AS o FROM a FULL JOIN b ON a.id = b.id)
