@@ -545,6 +545,12 @@ def slugify_ascii(spark, d):
     return table(spark, d, "documents").filter("lang <> 'de'").select(F.substring("text", 1, 12).alias("name")).distinct().withColumn("slug", text.slug("name"))
 
 
+@query()
+def slugify_whole(spark, d):
+    """Whole texts of all documents; SQL's accent stripping differs on some letters."""
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("name")).withColumn("slug", text.slug("name")).select("doc_id", "slug")
+
+
 @query("SELECT doc_id, length(text)::BIGINT AS chars, (length(text) - length(replace(text, 'th', ''))) // 2 AS ths FROM documents")
 def text_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", text.utf16_units("text").alias("chars"), text.occurrences("text", F.lit("th")).alias("ths"))
