@@ -159,6 +159,13 @@ def suffix_unique(spark, d):
     return graph.suffix_unique(files, docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("suffix")))
 
 
+@query(ORACLES["suffix_unique"].replace("doc_id % 300", "doc_id % (SELECT count(*) FROM documents)"))
+def suffix_unique_whole(spark, d):
+    docs = table(spark, d, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % F.lit(max(1, docs.count()))).cast("string")).alias("path"))
+    return graph.suffix_unique(files, docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("suffix")))
+
+
 TIERED = """WITH c AS (
   SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus = 'O' THEN 2 ELSE 3 END AS tier, l_suppkey AS id FROM lineitem), d AS (SELECT DISTINCT * FROM c),
   o AS (SELECT d.* FROM d JOIN (SELECT k, min(tier) AS t FROM d GROUP BY k) b ON b.k = d.k AND b.t = d.tier) SELECT k, min(tier)::BIGINT AS tier, min(id) AS id FROM o GROUP BY k HAVING count(*) = 1"""
@@ -372,7 +379,8 @@ def rank_blend(spark, d):
 
 @query()
 def ask_ranked(spark, d):
-    e = table(spark, d, "events").select(F.concat(F.lit("d/"), (F.col("event_id") % 997).cast("string")).alias("source"), F.concat(F.lit("d/"), ((F.col("event_id") * 31 + F.col("user_id")) % 997).cast("string")).alias("target"), F.lit("calls").alias("relation"))
+    n = F.lit(max(1, table(spark, d, "documents").count()))
+    e = table(spark, d, "events").select(F.concat(F.lit("d/"), (F.col("event_id") % n).cast("string")).alias("source"), F.concat(F.lit("d/"), ((F.col("event_id") * 31 + F.col("user_id")) % n).cast("string")).alias("target"), F.lit("calls").alias("relation"))
     return search.ask(doc_symbols(spark, d), e, list(WORDS[:3]))
 
 
@@ -510,6 +518,13 @@ def savings_baseline(spark, d):
     return sessions.savings(m, table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("chars")))
 
 
+@query(ORACLES["savings_baseline"].replace("event_id % 300", "event_id % (SELECT count(*) FROM documents)"))
+def savings_baseline_whole(spark, d):
+    docs = table(spark, d, "documents")
+    m = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % F.lit(max(1, docs.count()))).alias("path"), (F.col("user_id") * 997 % 90000).alias("packed_chars"))
+    return sessions.savings(m, docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("chars")))
+
+
 @query("WITH p AS (SELECT 'a/' || source || '/' || lang || '/' || doc_id AS path, source, lang FROM documents), s AS (SELECT DISTINCT unnest(['a', 'a/src1', 'a/src1/en', 'a/src2/fr']) AS prefix) SELECT DISTINCT path, arg_max(prefix, length(prefix)) OVER (PARTITION BY path) AS prefix FROM p JOIN s ON path = prefix OR starts_with(path, prefix || '/')")
 def scope_longest_prefix(spark, d):
     paths = table(spark, d, "documents").select(F.concat_ws("/", F.lit("a"), "source", "lang", F.col("doc_id").cast("string")).alias("path"))
