@@ -85,6 +85,11 @@ def test_pieces_of_random_texts():
 # 3
 
 
+def shingles_of(line):
+    x = " ".join(words(line))
+    return {x[i : i + 8] for i in range(max(1, len(x) - 7))}
+
+
 def kept_lines(table):
     at = {}
     for r in table:
@@ -93,7 +98,7 @@ def kept_lines(table):
                 if words(line):
                     at.setdefault(line, []).append((r["doc_id"], i))
     lines = list(at)
-    sets = [{" ".join(w[i : i + 2])[:8] for i in range(len(w))} for w in map(words, lines)]
+    sets = [shingles_of(line) for line in lines]
     group = list(range(len(lines)))
     for i in range(len(lines)):
         for j in range(i):
@@ -136,10 +141,13 @@ def test_line_dedup_verifies_all_lines_of_a_band(spark, monkeypatch, small):
         shared = own(8)
         texts += [" ".join(template + shared + own(4)) for _ in range(2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keys = {r["id"]: set(r["keys"]) for r in line_dedup.with_keys(line_dedup.with_shingles(docs.toDF("id", "line")).select("id", "h")).collect()}
+    keys = {i: set() for i in range(len(texts))}
+    for r in line_dedup.keys(docs.toDF("id", "line")).collect():
+        keys[r["id"]] |= set(r["keys"])
     want = {i + 1 for i in range(0, len(texts), 2) if keys[i] & keys[i + 1]}
     assert len(want) > 120
-    assert {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()} == want
+    got = {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()}
+    assert want <= got and all(i % 2 for i in got)
 
 
 def test_line_dedup_reads_whole_lines(spark):
@@ -153,6 +161,49 @@ def test_line_dedup_reads_whole_lines(spark):
     assert got == {7, 12}
 
 
+def test_line_dedup_recall(spark):
+    """Of the pairs with a similarity of 0.8 or more, by brute force and by length, 0.9 or more are caught, and no other line goes."""
+    rng = random.Random(8)
+    letters = "aaabcdeeefghiiklmnooprsttuvwy    "
+    made = lambda n: " ".join("".join(rng.choice(letters) for _ in range(n)).split())
+    texts, want, different = [], {}, set()
+    for length, edits in ((12, 1), (30, 1), (60, 1), (110, 1), (130, 1), (130, 2), (250, 2), (600, 6), (2000, 18)):
+        for _ in range(120):
+            a = made(length)
+            b = list(a)
+            for _ in range(edits):
+                b[rng.choice([0, len(b) - 1]) if length < 100 else rng.randrange(len(b))] = rng.choice("xyzq")
+            b = "".join(b)
+            x, y = shingles_of(a), shingles_of(b)
+            near = 100 * len(x & y) >= 80 * len(x | y)
+            if near and a != b:
+                want.setdefault(length, set()).add(len(texts) + 1)
+            elif a != b:
+                different.add(len(texts) + 1)
+            texts += [a, b]
+    copy = "https://example.com/" + "p" * 30
+    urls = [f"https://example.com/{x}" for x in ("alpha", "beta/2", "gamma?x=1", "delta")] + [copy + f"{i:03d}" * 40 for i in range(100, 130)]
+    docs = spark.createDataFrame(list(enumerate(texts + urls)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()}
+    assert all(len(v) > 30 for v in want.values()) and len(want) == 7
+    assert {n: len(v & gone) / len(v) for n, v in want.items() if len(v & gone) < 0.9 * len(v)} == {}
+    assert len(set().union(*want.values()) & gone) >= 0.95 * sum(map(len, want.values()))
+    assert not gone & different and not {i for i in gone if i >= len(texts)}
+
+
+def test_line_dedup_of_a_large_band(spark):
+    """Thousands of lines in one band, of which few are similar."""
+    rng = random.Random(9)
+    head = " ".join(f"w{rng.randrange(1000):03d}" for _ in range(60))
+    tails = [" ".join(f"t{rng.randrange(100000):05d}" for _ in range(16)) for _ in range(1500)]
+    texts = [f"{head} {x}" for x in tails] + [f"{head} {x}!" for x in tails[:200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    gone = {r["doc_id"] for r in line_dedup.dedup(docs).filter("n_removed = 1").collect()}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert not near(shingles_of(texts[0]), shingles_of(texts[1])) and near(shingles_of(texts[0]), shingles_of(texts[1500]))
+    assert gone <= set(range(1500, 1700)) and len(gone) > 190
+
+
 # 4
 
 
