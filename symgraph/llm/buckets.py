@@ -34,9 +34,24 @@ BATCH = 8 << 20
 Row = tuple[int, int, int, int, bytes]
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Some buckets for each shuffle partition, so that hashing them out is even."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text for each bucket beyond which there are more of them.
+BUCKET_TEXT = 16 << 20
+
+
+def n_buckets(spark: SparkSession, size: int = 0) -> int:
+    """Some buckets for each shuffle partition, so that hashing them out is even, and more for more text (size, in bytes)."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_TEXT)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table by the optimizer's statistics, which read nothing; 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
+def n_parts(spark: SparkSession, n: int) -> int:
+    """Partitions for n buckets."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4)
 
 
 def pack(x) -> bytes:
