@@ -4,11 +4,11 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 when the overlap is at least 0.8 of the union; what is returned is each document's set
 size and the least doc_id of its component.
 
-Tokens of a set are hashed into 64 groups, 256 for a set of over 400, 1024 for one of
+Tokens of a set are hashed into 256 groups, 1024 for a set of over 400, 4096 for one of
 over 1600 and so on, and the group counts are a point: the sum of the coordinates'
 minima bounds the overlap of two sets from above, and that of an R-tree's upper corners
-the overlap of all below. Trees are over 64 groups; what survives is bounded again by
-all the groups that both sets have, of which each of the 64 is a part. Trees are built
+the overlap of all below. Trees are over 64 sums of groups; what survives is bounded again
+by all the groups that both sets have. Trees are built
 for sets that share one of their least tokens, which linked sets always do (of n tokens,
 the first n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in
 it). Chunks send these tokens to buckets in packed blobs, and only tokens that two
@@ -48,8 +48,10 @@ from symgraph.llm.components import components
 from symgraph.llm.textchunk import mix, slices, words
 from symgraph.session import drop_staged, staged, staged_with_path
 
-SIZE, GROUPS = 5, 64
-#: Sets of more tokens than STEP have four times the groups, of four times STEP sixteen times, and so on.
+SIZE, GROUPS, LEAST_GROUPS = 5, 64, 256
+#: Tokens up to which a point is a list of their groups, a byte each, in place of the counts.
+LISTED = 200
+#: Sets of more tokens than STEP have four times LEAST_GROUPS, of four times STEP sixteen times, and so on.
 STEP = 400
 #: Links need PART * overlap >= WHOLE * union.
 PART, WHOLE = 100, 80
@@ -162,23 +164,26 @@ def set_ids(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def _groups(n: float) -> int:
     """Groups of a set of n tokens."""
-    g = GROUPS
+    g = LEAST_GROUPS
     while n > STEP:
         g, n = 4 * g, n / 4
     return g
 
 
 def point(tokens: np.ndarray) -> bytes:
-    """The group counts of a set, with one, two or four bytes each after a byte that says so. Group i of 64 is groups 4 i to 4 i + 3 of 256."""
+    """A set's groups: a zero byte and the group of each token, or the counts by group with one, two or four bytes each after a byte that says so. Group i of 64 is groups 4 i to 4 i + 3 of 256."""
     g = _groups(len(tokens))
-    counts = np.bincount((mix(tokens) >> _U(65 - g.bit_length())).astype(np.int64), minlength=g)
+    own = (mix(tokens) >> _U(65 - g.bit_length())).astype(np.int64)
+    if len(tokens) <= LISTED:
+        return b"\0" + own.astype(np.uint8).tobytes()
+    counts = np.bincount(own, minlength=g)
     most = int(counts.max())
     width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def counts_of(points: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(p, f"<u{p[0]}", offset=1).astype(np.int64) for p in points]
+    return [np.frombuffer(p, f"<u{p[0]}", offset=1).astype(np.int64) if p[0] else np.bincount(np.frombuffer(p, np.uint8, offset=1), minlength=LEAST_GROUPS) for p in points]
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -334,14 +339,11 @@ def _candidates(best: bool):
         counts = counts_of(points.tolist())
         top = np.zeros(len(ids))
         partner = np.full(len(ids), -1)
-        for i, j, bound in CountTree(np.stack([folded(c, GROUPS) for c in counts]), n).pairs(component, side if side.any() else None):
+        for i, j, _ in CountTree(np.stack([folded(c, GROUPS) for c in counts]), n).pairs(component, side if side.any() else None):
             both = n[i] + n[j]
-            fine = np.flatnonzero(np.minimum(n[i], n[j]) > STEP)
-            if len(fine):
-                bound = bound.copy()
-                bound[fine] = bounded(counts, i[fine], j[fine])
-                ok = (PART + WHOLE) * bound >= WHOLE * both
-                i, j, bound, both = i[ok], j[ok], bound[ok], both[ok]
+            bound = bounded(counts, i, j)
+            ok = (PART + WHOLE) * bound >= WHOLE * both
+            i, j, bound, both = i[ok], j[ok], bound[ok], both[ok]
             if not len(i):
                 continue
             worth = bound / both
