@@ -130,7 +130,7 @@ def answer(rows: DataFrame, reply: Callable[[int, list[Row]], Iterator[Row]], n:
     return _dealt(rows, n).mapInArrow(run, SCHEMA)
 
 
-def collect(rows: DataFrame, finish: Callable[[object, list[Row]], pa.RecordBatch], schema: str) -> DataFrame:
+def collect(rows: DataFrame, finish: Callable[[object, list[Row]], pa.RecordBatch], schema: str, n: int | None = None) -> DataFrame:
     """finish(a chunk's own content, its answers) for every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def collect(rows: DataFrame, finish: Callable[[object, list[Row]], pa.RecordBatc
             own, *rest = group
             yield finish(load(own[4]), rest)
 
-    return _dealt(rows, None).mapInArrow(run, schema)
+    return _dealt(rows, n).mapInArrow(run, schema)
 
 
 def bits(flags: np.ndarray) -> bytes:

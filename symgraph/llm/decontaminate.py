@@ -13,11 +13,14 @@ characters other than blanks and U+0009 to U+000D, with A-Z in lower case.
    the mean distance at similarity 0.8.
 3. The exact weighted similarity verifies what is within the radius.
 
-The benchmark's side of a join is broadcast up to a counted size and shuffled beyond.
+The benchmark's side of a join, and of the documents what is found, is broadcast up to a
+counted number of bytes and shuffled beyond. Windows carry their own hashes alone.
 
 Nulls: a null or wordless text and a null or wordless item match nothing; a null doc_id
 is matched like others. Items under 5 words are one shingle. Repeated rows with one
-doc_id and text give one result; repeated items each count. Other columns don't matter.
+doc_id and text give one result; repeated items each count, equal rows once. Of windows
+that tie the first is reported. Very long texts are searched whole; an empty table of
+either kind gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -65,18 +68,18 @@ def _blocks(fingerprint: str) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, m (words), g (words of a shingle), grams, fingerprint."""
-    words = _with_words(benchmark, "item_id").withColumn("m", F.size("w"))
+    """item_id, ih (hash of its words), m (words), g (words of a shingle), grams, fingerprint; repeated rows once."""
+    words = _with_words(benchmark.select("item_id", "text").distinct(), "item_id").withColumn("m", F.size("w"))
     grams = reduce(lambda c, g: F.when(F.col("m") == g, _grams(g)).otherwise(c), range(1, SHINGLE), _grams(SHINGLE))
-    out = words.select("item_id", "m", F.least(F.col("m"), F.lit(SHINGLE)).alias("g"), F.explode(F.array(grams)).alias("grams"))
+    out = words.select("item_id", F.xxhash64("w").alias("ih"), "m", F.least(F.col("m"), F.lit(SHINGLE)).alias("g"), F.explode(F.array(grams)).alias("grams"))
     return out.withColumn("fingerprint", _fingerprint("grams"))
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
     """gram, g, m: of each item, enough of its rarest grams that a similar window holds one."""
-    every = items.select("item_id", "g", "m", F.size("grams").alias("n"), F.posexplode("grams").alias("at", "gram"))
+    every = items.select("item_id", "ih", "g", "m", F.size("grams").alias("n"), F.posexplode("grams").alias("at", "gram"))
     spread = every.groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = every.join(spread, "gram").withColumn("rank", F.row_number().over(W.partitionBy("item_id", "m").orderBy("often", "gram", "at")))
+    ranked = every.join(spread, "gram").withColumn("rank", F.row_number().over(W.partitionBy("item_id", "ih").orderBy("often", "gram", "at")))
     return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * WHOLE / PART) + 1).select("gram", "g", "m").distinct()
 
 

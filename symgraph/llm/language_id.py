@@ -2,15 +2,18 @@
 
 A document is a mixture: each of its words comes from one of the learned
 languages, in unknown proportions. A word's likelihood in a language is that of
-its character trigrams. Expectation-maximisation estimates the proportions; of
-the nested sets of the most frequent languages, the one with the highest
-likelihood less a penalty per language is selected, and the document's language
-is the largest of that set.
+its character trigrams, of which the TRIGRAMS most frequent have an entry of their
+own and the others count as the least likely. Expectation-maximisation estimates the
+proportions; then languages join the set in the order of their proportions, as long
+as the likelihood less a penalty per language grows, up to all of them, and the
+document's language is the largest of that set.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, as is every
 text where nothing could be learned; rows with a null lang or text are not learned
 from. Whole texts are read. Ties go to the first language in code-point order.
-Repeated rows give repeated rows; other columns and their names don't matter.
+Repeated rows give repeated rows; other columns and their names don't matter. A null
+doc_id counts as the text 'null' for the held-out share. An empty table gives an empty
+one. The classifier learns from about TRAIN_DOCS labelled documents, chosen by a hash.
 """
 
 from __future__ import annotations
@@ -130,13 +133,21 @@ def infer(likely: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     share, _ = _rounds(p, doc, first, n, np.full((len(n), langs), 1 / langs, np.float32), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     best, chosen = np.full(len(n), -np.inf), np.zeros_like(share)
-    for k in range(1, min(langs, 4) + 1):
-        held = np.zeros_like(share)
-        np.put_along_axis(held, order[:, :k], np.maximum(np.take_along_axis(share, order[:, :k], 1), 1e-3), 1)
-        own, fit = _rounds(p, doc, first, n, (held / held.sum(1, keepdims=True)).astype(np.float32), SET_ROUNDS if k > 1 else 1)
-        worth = fit - (k - 1) * (PENALTY + 0.5 * np.log(n))
-        better = worth > best
-        best[better], chosen[better] = worth[better], own[better]
+    at = np.arange(len(n))  # documents whose set may still grow
+    for k in range(1, langs + 1):
+        words = np.flatnonzero(np.isin(doc, at)) if len(at) < len(n) else slice(None)
+        own_n = n[at]
+        own_first = np.concatenate(([0], np.cumsum(own_n)[:-1]))
+        held, few = np.zeros((len(at), langs), share.dtype), order[at, :k]
+        np.put_along_axis(held, few, np.maximum(np.take_along_axis(share[at], few, 1), 1e-3), 1)
+        start = (held / held.sum(1, keepdims=True)).astype(np.float32)
+        own, fit = _rounds(p[words], np.repeat(np.arange(len(at)), own_n), own_first, own_n, start, SET_ROUNDS if k > 1 else 1)
+        worth = fit - (k - 1) * (PENALTY + 0.5 * np.log(own_n))
+        better = worth > best[at]
+        best[at[better]], chosen[at[better]] = worth[better], own[better]
+        at = at[better]
+        if not len(at):
+            break
     top = chosen.argmax(1)
     return top, np.clip(chosen[np.arange(len(n)), top], 0, 1)
 
@@ -165,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(4)) == 2
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

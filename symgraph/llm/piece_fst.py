@@ -1,20 +1,19 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The model file is compiled into three machines over the tropical semiring:
-
-* the normaliser: blanks to U+2581 and the dummy prefix, cut where no piece can
-  cross (before U+2581, around line feeds), so that each part is composed alone;
-* the lexicon: a trie whose arcs read characters and write piece ids, with a
-  byte-fallback arc for characters that are no piece;
-* the history acceptor: its state is the last piece. For a unigram model it
-  weighs each piece with minus its score. For a BPE model it weighs 0 where two
-  neighbouring pieces survive all merges on both sides of their border and
-  infinity elsewhere, so the only path of finite weight is the BPE result.
-
-encode() composes them with an input and takes the shortest path.
-
-Merges of equal rank (runs of U+2581 in some models) depend on their position
-in the run; runs have a machine of their own, see Transducer.run.
+The model file is compiled into three machines over the tropical semiring, which encode() composes with an
+input and searches for the shortest path:
+
+* the normaliser: arcs that read a character or a run of blanks and write U+2581, compiled to a substitution;
+  its output is cut where no piece can cross (before U+2581, around line feeds), so each part is composed alone;
+* the lexicon: a trie whose arcs read characters and write piece ids, with a byte-fallback arc for characters
+  that are no piece;
+* the history acceptor: its state is the last piece, and arc() gives the weight of the next one. For a unigram
+  model that is minus the score. For a BPE model it is 0 where two neighbouring pieces survive all merges on both
+  sides of their border and infinity elsewhere, so the one path of finite weight is the BPE result, and the state
+  at a position is one piece.
+
+Merges of equal rank (runs of U+2581 in some models) depend on their position in the run; runs have a machine of
+their own with a stack, see Transducer.run. Of unigram paths that tie the first found from the left is taken.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of an executor's memory of composed parts before it starts anew.
-MEMORY = 400_000
+#: Entries of an executor's memory of composed parts before it starts anew, and characters of a part that it keeps.
+MEMORY, KEPT_PART = 400_000, 64
 FAR = float("inf")
 
 
@@ -111,7 +110,7 @@ class Transducer:
             elif m.types[i] in (UNKNOWN, CONTROL):
                 self.text[i] = b" \xe2\x81\x87 " if m.types[i] == UNKNOWN else b""
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.rank = [-s for s in m.scores]
         self.left: dict[int, list[tuple[int, float, float]]] = {}
         self.right: dict[int, list[tuple[int, float, float]]] = {}
@@ -171,71 +170,54 @@ class Transducer:
         return True
 
     def run(self, n: int) -> list[int]:
-        """Ids of n times U+2581: merges of one rank, the leftmost first."""
-        sizes, k = [1] * n, 0
+        """Ids of n times U+2581: merges of one rank, the leftmost first. What is left of the stack's top can't be merged any more, so it takes linear time."""
+        stack: list[int] = []
         while True:
-            for k in range(len(sizes) - 1):
-                if BLANK * (sizes[k] + sizes[k + 1]) in self.ids:
-                    sizes[k : k + 2] = [sizes[k] + sizes[k + 1]]
-                    break
+            if len(stack) > 1 and BLANK * (stack[-2] + stack[-1]) in self.ids:
+                last = stack.pop()
+                stack[-1] += last
+            elif n and stack and BLANK * (stack[-1] + 1) in self.ids:
+                stack[-1] += 1
+                n -= 1
+            elif n:
+                stack.append(1)
+                n -= 1
             else:
-                return [self.ids[BLANK * s] for s in sizes]
+                return [self.ids[BLANK * s] for s in stack]
 
     def _bytes(self, c: str) -> list[int]:
         return [self.fallback[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def _surviving(self, part: str) -> list[int]:
-        """_path for a BPE model: one piece at most ends at a position on a path of finite weight, as every prefix has one result."""
-        n, pairs, trie, size = len(part), self.pairs, self.trie, len(self.model.pieces)
-        last, begun = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            p = last[i]
-            node, j, single = trie, i, False
-            while j < n:
-                node = node.get(part[j])
-                if node is None:
-                    break
-                j += 1
-                t = node.get("")
-                if t is None:
-                    continue
-                if j == i + 1:
-                    single = True
-                if last[j] != -1:
-                    continue
-                if p >= 0:
-                    ok = pairs.get(p * size + t)
-                    if ok is None:
-                        ok = pairs[p * size + t] = self.apart(p, t)
-                    if not ok:
-                        continue
-                last[j], begun[j] = t, i
-            if not single:  # byte fallback
-                last[i + 1], begun[i + 1] = -2, i
-        out: list[int] = []
-        while n:
-            out += self._bytes(part[begun[n] : n])[::-1] if last[n] == -2 else [last[n]]
-            n = begun[n]
-        return out[::-1]
+    def arc(self, last: int, piece: int) -> float:
+        """Weight of a piece after the last one (-1 at the beginning, -2 after a byte)."""
+        if self.model.kind == UNIGRAM:
+            return self.rank[piece]
+        if last < 0:
+            return 0.0
+        key = last * len(self.model.pieces) + piece
+        weight = self.pairs.get(key)
+        if weight is None:
+            weight = self.pairs[key] = 0.0 if self.apart(last, piece) else FAR
+        return weight
 
     def _path(self, part: str) -> list[int]:
-        """Shortest path of the composition with a part."""
-        if self.model.kind == BPE:
-            return self._surviving(part)
-        n = len(part)
+        """Shortest path of the composition with a part, position by position."""
+        n, arc, trie, fallback = len(part), self.arc, self.trie, self.worst if self.model.kind == UNIGRAM else 0.0
         far, last, begun = [0.0] + [FAR] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            node, j, single = self.trie, i, False
+            here, before, node, j, single = far[i], last[i], trie, i, False
+            if here == FAR:
+                continue
             while j < n and (node := node.get(part[j])) is not None:
                 j += 1
                 t = node.get("")
                 if t is None:
                     continue
                 single |= j == i + 1
-                if far[i] + self.rank[t] < far[j]:
-                    far[j], last[j], begun[j] = far[i] + self.rank[t], t, i
-            if not single and far[i] + self.worst < far[i + 1]:  # byte fallback
-                far[i + 1], last[i + 1], begun[i + 1] = far[i] + self.worst, -2, i
+                if here < far[j] and (w := here + arc(before, t)) < far[j]:
+                    far[j], last[j], begun[j] = w, t, i
+            if not single and here + fallback < far[i + 1]:
+                far[i + 1], last[i + 1], begun[i + 1] = here + fallback, -2, i
         out: list[list[int]] = []
         while n:
             out.append(self._bytes(part[begun[n] : n]) if last[n] == -2 else [last[n]])
@@ -275,7 +257,9 @@ class Transducer:
                 self.pairs.clear()
             for k, x in enumerate(found):
                 if x is None:
-                    found[k] = seen.get(parts[k]) or seen.setdefault(parts[k], self.part(parts[k]))
+                    ids = found[k] = seen.get(parts[k]) or self.part(parts[k])
+                    if len(parts[k]) <= KEPT_PART:
+                        seen[parts[k]] = ids
         return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:

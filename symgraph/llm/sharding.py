@@ -5,14 +5,17 @@ start dealt out evenly in hash order; in each round every group of equal texts a
 go where most of it is (a group larger than a shard: to as many shards as it needs), and
 a shard pair's requests are granted as far as as many documents come back: first
 requests the other way, then documents without a link, which are equally well anywhere.
-So every round keeps the sizes and cuts fewer links.
+So every round keeps the sizes and cuts fewer links. Rounds go on until one cuts no fewer;
+cut_links() counts what is cut, and `trace` of shards() receives it before and after each round.
 
 State is (group, shard, n): no document moves until the end, and a group of any size is
 eight rows at most. What is collected are sums per shard, pair of shards and hash bucket.
 
 Nulls: a null text has no bytes and counts as equal to an empty one. Repeated rows are
 documents of their own. A null doc_id is dealt like others. Other columns don't matter;
-an empty table gives an empty one.
+an empty table gives an empty one. A group larger than a shard fills as many as it needs.
+Very long texts are hashed whole. Of shards that hold equally many of a group the one that
+comes first by a hash of both is asked for.
 """
 
 from __future__ import annotations
@@ -23,20 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from symgraph.llm.checked import join_skewed
 from symgraph.session import drop_staged, staged, staged_with_path
 
-SHARDS, ROUNDS = 8, 4
-#: Hash buckets in which running totals are taken, for each shard or pair of shards, and for a group.
-BUCKETS, GROUP_BUCKETS = 256, 64
+SHARDS = 8
+#: Hash buckets in which running totals are taken, for each shard or pair of shards, at least; rows for each bucket beyond; buckets of a group.
+BUCKETS, BUCKET_ROWS, GROUP_BUCKETS = 256, 100_000, 64
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
 def _running(rows: DataFrame, keys: list[str], order: list[str], weight: Column) -> DataFrame:
     """Adds `before`: the sum of weight over the rows before in the order of (bucket, order), for each value of keys, which are few.
 
-    Only the sums of buckets, BUCKETS for each key, come to the driver; rows are ordered within a bucket.
+    Only the sums of buckets, one for each BUCKET_ROWS rows, come to the driver; rows are ordered within a bucket.
     """
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")).withColumn("_w", weight.cast("long"))
+    n = max(BUCKETS, rows.count() // BUCKET_ROWS)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int")).withColumn("_w", weight.cast("long"))
     sums = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("w")).collect()
     total: dict[tuple, int] = {}
     offsets = []
@@ -104,6 +109,12 @@ def _round(cells: DataFrame, cap: int) -> DataFrame | None:
     return asks.select("g", "shard", "n").unionByName(change).groupBy("g", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
+def cut_links(cells: DataFrame) -> int:
+    """Links cut by cells (g, shard, n): each member of a group that isn't in the shard with most of it, where that is at all possible."""
+    by = cells.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    return by.agg(F.sum(F.col("n") - F.col("most"))).first()[0] or 0
+
+
 def _in_group(rows: DataFrame) -> DataFrame:
     """Adds `rank`, from 0 within g, with no task holding more than a bucket of a group."""
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(GROUP_BUCKETS)).cast("int"))
@@ -113,8 +124,8 @@ def _in_group(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(within)).join(offsets, ["g", "_b"]).withColumn("rank", F.col("_o") + F.col("_r") - 1).drop("_b", "_o", "_r")
 
 
-def shards(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
+def shards(docs: DataFrame, trace: list[int] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document. trace receives the links cut before the first round and after each."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g"))
     rows = staged(rows.withColumn("_one", F.lit(0)), "rows")
@@ -122,17 +133,31 @@ def shards(docs: DataFrame) -> DataFrame:
     rows = staged(dealt.withColumn("start", F.pmod("before", F.lit(SHARDS)).cast("int")).drop("_one", "before"), "dealt")
     cap = -(-rows.count() // SHARDS)
     cells, path = staged_with_path(rows.groupBy("g", F.col("start").alias("shard")).agg(F.count("*").alias("n")), "cells")
-    for _ in range(ROUNDS):
+    cut = cut_links(cells)
+    trace = trace if trace is not None else []
+    trace.append(cut)
+    while cut:
         new = _round(cells, cap)
         if new is None:
             break
         new, new_path = staged_with_path(new, "cells")
+        now = cut_links(new)
+        if now >= cut:
+            drop_staged(new.sparkSession, new_path)
+            break
         drop_staged(cells.sparkSession, path)
-        cells, path = new, new_path
+        cells, path, cut = new, new_path, now
+        trace.append(cut)
     ends = cells.withColumn("hi", F.sum("n").over(W.partitionBy("g").orderBy("shard")))
-    held = ends.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("cells"))
-    placed = _in_group(rows).join(held, "g")
+    held = ends.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("cells"), F.max("hi").alias("_n"))
+    held = staged(held, "held")
+    alone = held.filter("_n = 1").select("g", F.element_at("cells", 1)["shard"].alias("shard"))
+    grouped = held.filter("_n > 1")
+    many = join_skewed(rows, grouped.select("g", "_n"), "g")
+    placed = join_skewed(_in_group(many), grouped, "g")
     shard = F.element_at(F.filter("cells", lambda c: c["hi"] > F.col("rank")), 1)["shard"]
-    placed = staged(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), "g", "rank"), "placed")
+    single = rows.join(alone, "g").select("doc_id", "size", "text_crc32", "shard", "g", F.lit(0).cast("long").alias("rank"))
+    placed = placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), "g", F.col("rank").cast("long").alias("rank"))
+    placed = staged(placed.unionByName(single), "placed")
     out = _running(placed, ["shard"], ["doc_id", "g", "rank"], F.lit(1))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

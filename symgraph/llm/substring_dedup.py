@@ -239,6 +239,7 @@ def _finish(c: dict, rows: list[Row]) -> pa.RecordBatch:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one blank) of every document."""
     docs = docs.select("doc_id", "text")
-    n = buckets.n_buckets(docs.sparkSession)
+    n = buckets.n_buckets(docs.sparkSession, buckets.size_of(docs))
     sent = buckets.send(docs, _split(hot_minimisers(docs), n))
-    return buckets.collect(buckets.answer(sent, _reply), _finish, SCHEMA)
+    parts = buckets.n_parts(docs.sparkSession, n)
+    return buckets.collect(buckets.answer(sent, _reply, parts), _finish, SCHEMA, parts)
