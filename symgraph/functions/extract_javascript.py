@@ -92,8 +92,13 @@ class _Scan:
         n = source.count("\n") + 1
         self.nodes.append(self._row(path, path.rsplit("/", 1)[-1], "file", 1, n, source, None, None, True) | {"chars": len(source.encode("utf-16-le")) // 2})
         self.body(0, self.count, path, "", None, False)
-        spans = [(x["start_line"], x["end_line"]) for x in self.nodes[1:]]
-        left = [x for i, x in enumerate(source.split("\n"), 1) if not any(a <= i <= b for a, b in spans)]
+        covered, done = bytearray(n + 2), 0
+        for a, b in sorted((x["start_line"], x["end_line"]) for x in self.nodes[1:]):
+            a = max(a, done + 1)
+            if b >= a:
+                covered[a : b + 1] = b"\1" * (b + 1 - a)
+                done = b
+        left = [x for i, x in enumerate(source.split("\n"), 1) if not covered[i]]
         self.nodes[0]["body"] = _BLANK.sub(" ", "\n".join(left)).strip()[:FILE_BODY]
 
     def _line(self, at: int) -> int:

@@ -8,6 +8,7 @@ import re
 
 FILE_BODY, BODY = 16_000, 5_000
 _BLANK = re.compile(r"\s+")
+_LINE_END = re.compile(rb"\r\n|\r|\n")
 _TYPE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
 
 
@@ -15,14 +16,12 @@ def _flat(text: str, limit: int) -> str:
     return _BLANK.sub(" ", text).strip()[:limit]
 
 
-class _Walk(ast.NodeVisitor):
+class _Walk:
     def __init__(self, path: str, source: str, tree: ast.Module):
         self.path, self.source = path, source
-        self.lines = [x.encode() for x in source.split("\n")]
-        self.starts = [0]
-        for x in self.lines:
-            self.starts.append(self.starts[-1] + len(x) + 1)
         self.raw = source.encode()
+        self.starts = [0, *(m.end() for m in _LINE_END.finditer(self.raw))]
+        self.lines = _LINE_END.split(self.raw)
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
         self.taken: dict[str, int] = {}
@@ -61,9 +60,14 @@ class _Walk(ast.NodeVisitor):
         })
 
     def _residual(self) -> None:
-        spans = [(n["start_line"], n["end_line"]) for n in self.nodes[1:]]
-        rows = self.source.split("\n")
-        left = [x for i, x in enumerate(rows, 1) if not any(a <= i <= b for a, b in spans)]
+        covered = bytearray(len(self.lines) + 2)
+        done = 0
+        for a, b in sorted((n["start_line"], n["end_line"]) for n in self.nodes[1:]):
+            a = max(a, done + 1)
+            if b >= a:
+                covered[a : b + 1] = b"\1" * (b + 1 - a)
+                done = b
+        left = [x.decode() for i, x in enumerate(self.lines, 1) if not covered[i]]
         self.nodes[0]["body"] = _flat("\n".join(left), FILE_BODY)
 
     def _bindings(self, tree: ast.Module) -> None:
@@ -106,7 +110,21 @@ class _Walk(ast.NodeVisitor):
             self.visit(child)
         self.parent, self.scope, self.owner, self.types, self.in_class, self.local = kept
 
-    visit_ClassDef = visit_FunctionDef = visit_AsyncFunctionDef = _define
+    def visit(self, top: ast.AST) -> None:
+        """Definitions, imports and calls below a node, in the order of the text; expressions of any depth."""
+        stack = [top]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                self._define(node)
+                continue
+            if isinstance(node, ast.Import):
+                self._import(node)
+            elif isinstance(node, ast.ImportFrom):
+                self._import_from(node)
+            elif isinstance(node, ast.Call):
+                self._call(node)
+            stack += reversed(list(ast.iter_child_nodes(node)))
 
     # Receivers' types: an annotation or one constructor call; any other binding of the name removes it.
 
@@ -129,61 +147,89 @@ class _Walk(ast.NodeVisitor):
         return None
 
     def _receivers(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict[str, str]:
+        """Types of names that a function binds in one way only: by an annotation, or by calling a name in upper case."""
         found: dict[str, set[str | None]] = {}
+
+        def bind(name: str | None, kind: str | None = None) -> None:
+            if name:
+                found.setdefault(name, set()).add(kind)
+
         a = node.args
         for arg in [*a.posonlyargs, *a.args, *a.kwonlyargs]:
             if arg.arg not in ("self", "cls"):
-                found.setdefault(arg.arg, set()).add(self._annotation(arg.annotation))
+                bind(arg.arg, self._annotation(arg.annotation))
+        for arg in (a.vararg, a.kwarg):
+            bind(arg.arg if arg else None)
         stack: list[ast.AST] = list(node.body)
         while stack:
             s = stack.pop()
-            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                bind(s.name)
                 continue
+            if isinstance(s, ast.Lambda):
+                continue
+            typed = None
             if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name):
-                found.setdefault(s.target.id, set()).add(self._annotation(s.annotation))
+                typed = s.target
+                bind(typed.id, self._annotation(s.annotation))
             elif isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
-                made = s.value.func if isinstance(s.value, ast.Call) else None
-                name = made.id if isinstance(made, ast.Name) and made.id[:1].isupper() else None
-                found.setdefault(s.targets[0].id, set()).add(name)
-            elif isinstance(s, ast.Name) and isinstance(s.ctx, ast.Store):
-                found.setdefault(s.id, set()).add(found.get(s.id) and next(iter(found[s.id])))
-            if isinstance(s, (ast.For, ast.AsyncFor, ast.With, ast.AsyncWith)):
-                for x in ast.walk(s.target if hasattr(s, "target") else ast.Tuple([i.optional_vars for i in s.items if i.optional_vars])):
-                    if isinstance(x, ast.Name):
-                        found.setdefault(x.id, set()).add(None)
-            stack += [c for c in ast.iter_child_nodes(s) if not (isinstance(s, (ast.Assign, ast.AnnAssign)) and isinstance(c, ast.Name) and isinstance(c.ctx, ast.Store))]
+                typed, made = s.targets[0], s.value.func if isinstance(s.value, ast.Call) else None
+                bind(typed.id, made.id if isinstance(made, ast.Name) and made.id[:1].isupper() else None)
+            elif isinstance(s, ast.Name) and not isinstance(s.ctx, ast.Load):
+                bind(s.id)
+            elif isinstance(s, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)):
+                bind(s.name)
+            elif isinstance(s, ast.MatchMapping):
+                bind(s.rest)
+            elif isinstance(s, (ast.Import, ast.ImportFrom)):
+                for x in s.names:
+                    bind((x.asname or x.name).split(".")[0])
+            elif isinstance(s, (ast.Global, ast.Nonlocal)):
+                for x in s.names:
+                    bind(x)
+            stack += [c for c in ast.iter_child_nodes(s) if c is not typed]
         return {k: next(iter(v)) for k, v in found.items() if len(v) == 1 and None not in v}
 
     # Imports and calls
 
-    def visit_Import(self, node: ast.Import) -> None:
+    def _import(self, node: ast.Import) -> None:
         for a in node.names:
             self._edge("imports", specifier=a.name, scope_id=self.local)
             self._edge("imports", specifier=a.name if a.asname else a.name, name=a.asname or a.name, imported_name="*", scope_id=self.local)
 
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+    def _import_from(self, node: ast.ImportFrom) -> None:
         spec = "." * node.level + (node.module or "")
         self._edge("imports", specifier=spec, scope_id=self.local)
         for a in node.names:
             if a.name != "*":
                 self._edge("imports", specifier=spec, name=a.asname or a.name, imported_name=a.name, scope_id=self.local)
 
-    def visit_Call(self, node: ast.Call) -> None:
+    def _call(self, node: ast.Call) -> None:
         f = node.func
         if isinstance(f, ast.Name):
             self._edge("calls", name=f.id)
         elif isinstance(f, ast.Attribute):
-            held = ast.unparse(f.value) if isinstance(f.value, (ast.Name, ast.Attribute)) else None
+            held = _dotted(f.value)
             if held:
                 self._edge("calls", name=f.attr, via_member=held, recv_type=self.types.get(held))
-        self.generic_visit(node)
+
+
+def _dotted(node: ast.expr) -> str | None:
+    """a.b.c of names and attributes; None of other expressions below an attribute's value."""
+    names: list[str] = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    if not isinstance(node, ast.Name):
+        return None
+    return ".".join([node.id, *reversed(names)])
 
 
 def extract(path: str, source: str) -> tuple[list[dict], list[dict]]:
-    """Nodes and raw edges of a file; of a file that doesn't parse, the file node alone."""
+    """Nodes and raw edges of a file; of a file that can't be parsed or walked, the file node alone."""
+    source = source.removeprefix("\ufeff")
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        tree = ast.Module([], [])
-    w = _Walk(path, source, tree)
+        w = _Walk(path, source, ast.parse(source))
+    except (SyntaxError, ValueError, RecursionError, MemoryError, UnicodeError, IndexError):
+        w = _Walk(path, source, ast.Module([], []))
     return w.nodes, w.edges

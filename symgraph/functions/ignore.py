@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 #: Directories that are never entered.
-BUILT_IN = (".git", "node_modules", "__pycache__", ".venv", "dist")
+BUILT_IN = (".git", "node_modules", "__pycache__", ".venv", "venv")
 
 
 @dataclass(frozen=True)

@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 #: Words that a question's terms leave out.
 STOP_WORDS = (
-    "a an and any are as at be by can code did do does file find for from function get has have how i in into is it its me method my of on or our "
-    "show so source that the their them then there this to us use used uses using was we were what when where which who why will with work works you"
+    "a an and are as at be by can do does for from how i in is it its of on or the this to what when where which who why with work works working code file files "
+    "function functions method methods class classes find show me get use used using into there that these those my our we you"
 ).split()
-
-TEST_PATH = r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|[._-](test|spec)\.[^/]*$"
+#: Parts of an identifier, and paths of tests.
+PARTS = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$"
 
 
 def occurrences(text: str | Column, part: str | Column) -> Column:
@@ -24,12 +25,6 @@ def occurrences(text: str | Column, part: str | Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")
 
 
-def split_camel(text: str | Column) -> Column:
-    """Blanks between the parts of camel-case names."""
-    parted = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.regexp_replace(parted, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-
-
 def stem(w: Column) -> Column:
     """A word without its first fitting ending: ing, ies (then y), es, ed, s, where more than three letters stay."""
     n = F.length(w)
@@ -41,19 +36,28 @@ def stem(w: Column) -> Column:
     return out
 
 
-def terms(text: str | Column) -> Column:
-    """Distinct stemmed terms of a text in order of first occurrence, without stop words and single letters."""
-    words = F.regexp_extract_all(F.lower(split_camel(text)), F.lit("[a-z0-9]+"), F.lit(0))
+def all_terms(text: str | Column) -> Column:
+    """Stemmed terms of a text in order, without stop words and single letters. Identifiers are cut at case changes and digits; stop words go after stemming."""
+    parts = F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))
     stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(F.transform(F.filter(words, lambda w: ~F.array_contains(stop, w)), stem), lambda w: F.length(w) > 1))
+    return F.filter(F.transform(parts, lambda w: stem(F.lower(w))), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+
+
+def terms(text: str | Column) -> Column:
+    """Distinct terms in order of first occurrence."""
+    return F.array_distinct(all_terms(text))
 
 
 def is_test_path(path: str | Column) -> Column:
     return F.col(path).rlike(TEST_PATH) if isinstance(path, str) else path.rlike(TEST_PATH)
 
 
-def one_line(text: str | Column, limit: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
+def first_line_or_signature(limit: int = 200) -> Column:
+    """A definition's meaning in one line: the first line of its summary, else its signature, cut at limit."""
+    summary = F.trim(F.coalesce("summary", F.lit("")))
+    flat = F.trim(F.regexp_replace(F.coalesce("signature", F.lit("")), r"\s+", " "))
+    cut = F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+    return F.when(summary != "", F.trim(F.substring_index(summary, "\n", 1))).otherwise(cut)
 
 
 def utf16_units(text: str) -> Column:
@@ -72,7 +76,11 @@ def slug(name: str | Column) -> Column:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL names of the text functions that are useful in queries."""
+    """SQL names of the text functions."""
     spark.udf.register("slug_ascii", _slug)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION one_line(t STRING, n INT) RETURNS STRING RETURN substring(trim(regexp_replace(t, '\\\\s+', ' ')), 1, n)")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stemmed = "CASE " + " ".join(f"WHEN endswith(w, '{e}') AND length(w) > {len(e) + 3} THEN concat(substring(w, 1, length(w) - {len(e)}), '{put}')" for e, put in (("ing", ""), ("ies", "y"), ("es", ""), ("ed", ""), ("s", ""))) + " ELSE w END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION stem_word(w STRING) RETURNS STRING RETURN {stemmed}")
+    each = stemmed.replace("(w", "(lower(w)").replace("ELSE w", "ELSE lower(w)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokenize_text(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(filter(transform(regexp_extract_all(t, '{PARTS}', 0), w -> {each}), w -> length(w) > 1 AND NOT array_contains(array({stop}), w)))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION occurrences(t STRING, p STRING) RETURNS BIGINT RETURN CAST((length(t) - length(replace(t, p, ''))) / length(p) AS BIGINT)")

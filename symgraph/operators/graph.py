@@ -99,8 +99,14 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, cap: int
     return out.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("level", "id"))).filter(F.col("rank") <= cap).drop("rank")
 
 
-def traverse(edges: DataFrame, seed: str, direction: str = "in", depth: int | None = None, cap: int = 400) -> DataFrame:
-    """Breadth-first listing from one seed in discovery order: pos, level, parent, other, relation, inferred.
+def starts_of(nodes: DataFrame, seed: str) -> list[str]:
+    """Where a traversal from a seed starts: there, and at every definition of it if it is a file, which callers mean by it. One file's definitions."""
+    own = nodes.filter((F.col("path") == seed) & (F.col("kind") != "file")).select("id").orderBy("id")
+    return [seed, *(r["id"] for r in own.collect())]
+
+
+def traverse(edges: DataFrame, seed: str, direction: str = "in", depth: int | None = None, cap: int = 400, starts: list[str] | None = None) -> DataFrame:
+    """Breadth-first listing from one seed, or several starts in order, in discovery order: pos, level, parent, other, relation, inferred.
 
     A parent's edges come in the order (relation, source, target); what was listed isn't listed again. The
     listing is capped, so each level's rows are few; levels are joined, ranked and staged like in reach().
@@ -110,7 +116,8 @@ def traverse(edges: DataFrame, seed: str, direction: str = "in", depth: int | No
     spark = edges.sparkSession
     schema = "pos int, level int, parent string, other string, relation string, inferred boolean"
     rows: list[tuple] = []
-    frontier, listed, level = [(0, seed)], {seed}, 0
+    starts = starts or [seed]
+    frontier, listed, level = list(enumerate(starts, -len(starts))), set(starts), 0
     while frontier and (depth is None or level < depth) and len(rows) < cap:
         level += 1
         now = F.broadcast(spark.createDataFrame(frontier, "parent_rank int, parent string"))  # cap rows at most
@@ -127,6 +134,11 @@ def traverse(edges: DataFrame, seed: str, direction: str = "in", depth: int | No
     return spark.createDataFrame(rows, schema)
 
 
+def blast_first(nodes: DataFrame, edges: DataFrame, path_suffix: str, limit: int = 8) -> DataFrame:
+    """The first edges of blast_radius in the order of the edges (ord)."""
+    return blast_radius(nodes, edges, path_suffix).join(edges, ["source", "target", "relation"]).orderBy("ord").limit(limit).select("source", "target", "relation")
+
+
 def blast_radius(nodes: DataFrame, edges: DataFrame, path_suffix: str) -> DataFrame:
     """Edges from outside into the symbols of a file (named by path or path suffix), contains left out, imports not."""
     own = nodes.filter((F.col("path") == path_suffix) | F.col("path").endswith("/" + path_suffix)).select("id")
@@ -212,29 +224,27 @@ def diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFra
     return both.select(key, change.alias("change"), F.when(change == "changed", what).otherwise("").alias("what")).filter("change IS NOT NULL")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Personalised PageRank: id, rank. seeds: (id, weight); edges (source, target) count as often as they are there.
 
     Restarts and the mass of vertices without edges go to the seeds. One join and one aggregate a round on the
-    edges' key; staged every few rounds.
+    edges' key; each round is staged, so the plan doesn't grow.
     """
     total = seeds.agg(F.sum("weight").alias("t")).first()["t"]
     restart = staged(seeds.groupBy("id").agg((F.sum("weight") / F.lit(total)).alias("share")), "restart")
     degree = edges.groupBy("source").agg(F.count("*").alias("degree"))
     out = staged(edges.groupBy("source", "target").agg(F.count("*").alias("n")).join(degree, "source").select("source", "target", (F.col("n") / F.col("degree")).alias("part")), "out-edges")
-    rank = restart.select("id", F.col("share").alias("rank"))
-    ends = out.select(F.col("source").alias("id")).distinct().withColumn("has", F.lit(True))
-    path = None
-    for step in range(1, rounds + 1):
-        lost = rank.join(ends, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        flow = rank.join(out, rank["id"] == out["source"]).groupBy(F.col("target").alias("id")).agg((F.lit(damping) * F.sum(F.col("rank") * F.col("part"))).alias("r"))
-        back = restart.crossJoin(F.broadcast(lost)).select("id", (F.col("share") * (F.lit(1 - damping) + F.lit(damping) * F.col("lost"))).alias("r"))  # by one row
-        rank = flow.unionByName(back).groupBy("id").agg(F.sum("r").alias("rank"))
-        if step % every == 0:
-            rank, new_path = staged_with_path(rank, "rank")
-            if path:
-                drop_staged(rank.sparkSession, path)
-            path = new_path
+    rank, path = staged_with_path(restart.select("id", F.col("share").alias("rank")), "rank")
+    for _ in range(rounds):
+        flow = rank.join(out, rank["id"] == out["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("part")).alias("r"))
+        flow, flow_path = staged_with_path(flow, "flow")
+        # What doesn't flow on is lost at vertices without edges: all mass is 1.
+        lost = 1.0 - (flow.agg(F.sum("r")).first()[0] or 0.0)
+        back = restart.select("id", (F.col("share") * (1 - damping + damping * lost)).alias("r"))
+        new, new_path = staged_with_path(flow.select("id", (F.lit(damping) * F.col("r")).alias("r")).unionByName(back).groupBy("id").agg(F.sum("r").alias("rank")), "rank")
+        for p in (flow_path, path):
+            drop_staged(new.sparkSession, p)
+        rank, path = new, new_path
     return rank
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,3 +75,93 @@ def summarise(files: DataFrame, make_model: Callable[[], Callable[[str, str], st
             yield pd.DataFrame(out, columns=["path", "summary", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, summary string, error string")
+
+
+def batch_keys(batches: DataFrame) -> DataFrame:
+    """batch, key: a hash of the batch's files (path, body_hash), whatever their order. Batches are of a bounded size (pack)."""
+    line = F.concat_ws(":", "path", F.coalesce("body_hash", F.lit("")))
+    return batches.groupBy("batch").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("key"))
+
+
+def inherited_sources(sources: DataFrame, links: DataFrame, concepts: DataFrame) -> DataFrame:
+    """slug, path: concepts' own sources; those of what a concept links to where it has none, else of what links to it."""
+    own = sources.select("slug", "path").distinct()
+    bare = concepts.select("slug").distinct().join(own, "slug", "left_anti")
+    there = bare.join(links.select("slug", "to"), "slug").join(own.withColumnRenamed("slug", "to"), "to").select("slug", "path").distinct()
+    left = bare.join(there, "slug", "left_anti").withColumnRenamed("slug", "to")
+    back = left.join(links.select("slug", "to"), "to").join(own.unionByName(there), "slug").select(F.col("to").alias("slug"), "path").distinct()
+    return own.unionByName(there).unionByName(back)
+
+
+def keep_previous(new: DataFrame, previous: DataFrame | None, failed: int) -> DataFrame:
+    """The new concepts, or the previous ones where a run that failed in part would replace them."""
+    return previous if failed and previous is not None else new
+
+
+def coverage(nodes: DataFrame) -> DataFrame:
+    """ready, total, percent of definitions with a summary of their present body."""
+    ready, total = F.count_if(F.col("summary_state") == "ready"), F.count("*")
+    return nodes.agg(ready.alias("ready"), total.alias("total"), F.coalesce(F.bround(100 * ready / F.nullif(total, F.lit(0)), 0), F.lit(0)).cast("long").alias("percent"))
+
+
+def _payload(value: object, tools: set[str], key: str) -> dict | None:
+    """The first object below a value, or in a tool call around it, whose key is a list."""
+    queue = [value]
+    while queue:
+        x = queue.pop(0)
+        if isinstance(x, list):
+            queue = x + queue
+        elif isinstance(x, dict):
+            name, given = x.get("name"), next((x[f] for f in ("parameters", "arguments", "args") if f in x), None)
+            call = isinstance(name, str) or given is not None
+            if call and isinstance(name, str) and name and name not in tools:
+                continue
+            if call and isinstance(given, str):
+                try:
+                    given = json.loads(given)
+                except ValueError:
+                    continue
+            if call and (hit := _payload(given, tools, key)) is not None:
+                return hit
+            if isinstance(x.get(key), list):
+                return x
+    return None
+
+
+def recover(text: str | None, tools: list[str], key: str) -> dict | None:
+    """A tool's payload out of a model's plain text: whole, in a code fence, or from the first bracket to the last."""
+    body = re.sub(r"^```(json|JSON)?|```$", "", (text or "").strip()).strip()
+    spans = [body] + [body[body.find(a) : body.rfind(b) + 1] for a, b in ("{}", "[]") if 0 <= body.find(a) < body.rfind(b)]
+    for span in spans:
+        try:
+            hit = _payload(json.loads(span), set(tools), key)
+        except ValueError:
+            continue
+        if hit is not None:
+            return hit
+    return None
+
+
+def recover_payloads(texts: DataFrame, tools: list[str], key: str) -> DataFrame:
+    """id, payload (JSON, null where there is none) of texts (id, text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [recover(t, tools, key) for t in frame["text"]]
+            yield frame[["id"]].assign(payload=[None if x is None else json.dumps(x) for x in found])
+
+    return texts.select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, payload string")
+
+
+def symbol_requests(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, source, wanted: for each file with symbols that need a summary, its numbered lines (path, line_no, line), SOURCE_CHARS of them at most, and these symbols' ids. A group is one file."""
+    need = nodes.filter("kind <> 'file' AND summary_state <> 'ready'").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("wanted"))
+    text = lines.join(need.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    numbered = F.array_join(F.transform("x", lambda r: F.concat_ws("  ", r["line_no"].cast("string"), r["line"])), "\n")
+    return need.join(text.select("path", F.substring(numbered, 1, SOURCE_CHARS).alias("source")), "path").select("path", "source", "wanted")
+
+
+def omitted(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """path, wanted: what an answer (path, id) left out, to be asked for once more."""
+    asked = requests.select("path", F.explode("wanted").alias("id"))
+    return asked.join(answers.select("path", "id"), ["path", "id"], "left_anti").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("wanted"))

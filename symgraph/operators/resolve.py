@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from symgraph.operators.graph import first_wins, tiered
 from symgraph.session import staged
+from symgraph.sources.files import family
 
 #: Suffixes tried for a module, in order.
 SUFFIXES = ("", ".py", ".pyi", "/__init__.py")
 SCRIPT_SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
 SCRIPT = r"\.[mc]?[jt]sx?$"
-BINDABLE = ("class", "function", "constant", "variable", "interface", "type", "enum", "struct", "trait", "module")
+#: Kinds that a bare name can mean, and those that an import can bind.
+BY_NAME = ("function", "class", "struct")
+BINDABLE = (*BY_NAME, "interface", "trait")
 PASS = 1 << 60
 
 
@@ -67,7 +70,7 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
     order = F.col("file_ord").cast("long") * (1 << 32) + F.col("seq")
     raw = staged(raw.withColumn("at", order), "raw-edges")
     files = nodes.filter("kind = 'file'").select("path")
-    defs = staged(nodes.filter("kind <> 'file'").select("id", "name", "kind", "path", "owner", _parent_of("id").alias("parent")), "definitions")
+    defs = staged(nodes.filter("kind <> 'file'").select("id", "name", "kind", "path", "owner", _parent_of("id").alias("parent"), family("path").alias("family")), "definitions")
     imports = raw.filter("relation = 'imports'")
     specs = imports.select("file", "specifier").unionByName(
         imports.filter("imported_name IS NOT NULL AND imported_name <> '*'").select("file", F.when(F.col("specifier").endswith("."), F.concat("specifier", "imported_name")).otherwise(F.concat_ws(".", "specifier", "imported_name")).alias("specifier"))
@@ -101,12 +104,13 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
         return tiered(both.drop("_f", "_n", "scope_id").distinct(), "k", unique=True).drop("tier", "k")
 
     # Pass 2: heritage, the first tier with candidates; it must hold one.
-    bases = raw.filter("relation IN ('extends', 'implements')").select("source", "relation", "file", "name", "at")
+    # A bare name reaches definitions of its own language family alone.
+    bases = raw.filter("relation IN ('extends', 'implements')").select("source", "relation", "file", "name", "at", family("file").alias("family"))
     types = defs.filter(F.col("kind").isin("class", "interface", "trait", "struct"))
     tiers = [
         visible(bases, "symbol").join(types.select(F.col("id").alias("target")), "target", "left_semi").withColumn("tier", F.lit(0)),
         bases.join(types.select(F.col("path").alias("file"), "name", F.col("id").alias("target")), ["file", "name"]).filter("target <> source").withColumn("tier", F.lit(1)),
-        bases.join(types.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1").drop("n"), "name").filter("target <> source").withColumn("tier", F.lit(2)),
+        bases.join(types.groupBy("name", "family").agg(F.count("*").alias("n"), F.min("id").alias("target")).filter("n = 1").drop("n"), ["name", "family"]).filter("target <> source").withColumn("tier", F.lit(2)),
     ]
     foreign = bound.filter("target IS NULL AND submodule IS NULL").select("file", "name").distinct()
     tiers[2] = tiers[2].join(foreign, ["file", "name"], "left_anti")
@@ -118,7 +122,7 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
 
     # Pass 3: contains, then calls by the form of the callee.
     emit(raw.filter("relation = 'contains'").select("source", F.col("target_id").alias("target"), sure, "at"), 2, "contains")
-    calls = raw.filter("relation = 'calls'").select("source", "file", "name", "via_member", "recv_type", "at")
+    calls = raw.filter("relation = 'calls'").select("source", "file", "name", "via_member", "recv_type", "at", family("file").alias("family"))
     methods = defs.filter("kind = 'method'").select(F.col("parent").alias("type"), F.col("name").alias("name"), F.col("id").alias("target"))
 
     def member(of_type: DataFrame) -> DataFrame:
@@ -133,11 +137,11 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
 
     typed = calls.filter("recv_type IS NOT NULL").withColumn("key", F.col("recv_type"))
     own_type = types.select(F.col("path").alias("file"), F.col("name").alias("key"), F.col("id").alias("type")).groupBy("file", "key").agg(F.min("type").alias("type"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    lone = types.groupBy(F.col("name").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("type")).filter("n = 1").drop("n")
+    lone = types.groupBy(F.col("name").alias("key"), "family").agg(F.count("*").alias("n"), F.min("id").alias("type")).filter("n = 1").drop("n")
     by_type = [
         visible(typed, "symbol").withColumnRenamed("target", "type").withColumn("c", F.lit(0)),
         typed.join(own_type, ["file", "key"]).withColumn("c", F.lit(0)),
-        typed.join(lone, "key").withColumn("c", F.lit(1)),
+        typed.join(lone, ["key", "family"]).withColumn("c", F.lit(1)),
     ]
     columns = ["source", "file", "name", "at", "type", "c"]
     of_type = reduce(DataFrame.unionByName, (t.select(*columns) for t in by_type)).withColumn("k", F.col("at").cast("string"))
@@ -159,14 +163,15 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
     star = bound.filter("imported_name = '*' AND target IS NOT NULL").select("file", "name", "scope_id", F.col("target").alias("module"))
     subs = bound.filter("symbol IS NULL AND submodule IS NOT NULL").select("file", "name", "scope_id", F.col("submodule").alias("module"))
     spaced = spaces.join(star.unionByName(subs).select("file", F.col("name").alias("key"), "module").distinct(), ["file", "key"])
-    top = defs.filter(F.col("parent") == F.col("path")).select(F.col("path").alias("module"), "name", F.col("id").alias("target"))
+    top = defs.filter((F.col("parent") == F.col("path")) & F.col("kind").isin(*BY_NAME)).select(F.col("path").alias("module"), "name", F.col("id").alias("target"))
     emit(spaced.join(top, ["module", "name"]).withColumn("confidence", F.lit("extracted")), 3, "calls")
 
     bare = calls.filter("via_member IS NULL")
-    through = staged(visible(bare, "symbol").select("source", "file", "name", "at", "target"), "bound-calls")
+    named_ = defs.filter(F.col("kind").isin(*BY_NAME)).select(F.col("id").alias("target"))
+    through = staged(visible(bare, "symbol").join(named_, "target", "left_semi").select("source", "file", "name", "at", "target"), "bound-calls")
     emit(through.withColumn("confidence", F.lit("extracted")), 3, "calls")
     rest = bare.join(through.select("at"), "at", "left_anti")
-    callable_ = defs.filter(F.col("kind").isin("function", "class", "struct", "enum", "constant", "variable"))
+    callable_ = defs.filter(F.col("kind").isin(*BY_NAME))
     local = rest.join(callable_.select(F.col("path").alias("file"), "name", F.col("id").alias("target"), "parent"), ["file", "name"])
     reach = (F.col("parent") == F.col("file")) | (F.col("source") == F.col("parent")) | F.expr("startswith(source, concat(parent, '.'))")
     local = staged(local.withColumn("ok", reach), "local-calls")
@@ -174,7 +179,7 @@ def resolve(nodes: DataFrame, raw: DataFrame) -> DataFrame:
     nearest = local.filter("ok").groupBy("at", "source").agg(F.max_by("target", F.struct(F.length("parent"), F.length("target"), "target")).alias("target"))
     emit(nearest.withColumn("confidence", F.lit("extracted")), 3, "calls")
     open_ = rest.join(local.select("at").distinct(), "at", "left_anti").join(foreign, ["file", "name"], "left_anti")
-    every = defs.filter(F.col("kind").isin("function", "class", "struct", "enum")).groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target"), F.min("parent").alias("parent"), F.min("path").alias("path"))
-    alone = every.filter((F.col("n") == 1) & (F.col("parent") == F.col("path"))).select("name", "target")
-    emit(open_.join(alone, "name").withColumn("confidence", F.lit("inferred")), 3, "calls")
+    every = defs.filter(F.col("kind").isin(*BY_NAME)).groupBy("name", "family").agg(F.count("*").alias("n"), F.min("id").alias("target"), F.min("parent").alias("parent"), F.min("path").alias("path"))
+    alone = every.filter((F.col("n") == 1) & (F.col("parent") == F.col("path"))).select("name", "family", "target")
+    emit(open_.join(alone, ["name", "family"]).withColumn("confidence", F.lit("inferred")), 3, "calls")
     return first_wins(reduce(DataFrame.unionByName, emitted))

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from symgraph.functions.text import is_test_path, occurrences
+from symgraph.functions.text import all_terms, is_test_path, occurrences
 from symgraph.operators.graph import pagerank, usage
+from symgraph.session import staged
 
-#: Weights of the fields, saturation, share of related names, blend, sizes of the stages.
+#: Weights of the fields, saturation, weight of a body's length, shares of related words and fragments, least length of a beginning, blend, sizes of the stages, penalties.
 WEIGHTS = {"name": 4.0, "qualified": 2.0, "signature": 1.5, "body": 2.2}
-SATURATION, RELATED, LEXICAL, CENTRAL = 1.2, 0.65, 0.75, 0.25
+SATURATION, LENGTH, RELATED, FRAGMENT, SHORT = 1.2, 0.75, 0.65, 0.3, 3
+LEXICAL, CENTRAL = 0.75, 0.25
 SHORTLIST, SEEDS = 600, 200
-FILE_PENALTY, ALIAS_PENALTY, TEST_PENALTY, EXACT_BONUS = 0.5, 0.3, 0.4, 4.0
+FILE_PENALTY, ALIAS_PENALTY, TEST_PENALTY = 0.5, 0.3, 0.4
+TEST_WORDS = {"test", "tests", "testing", "spec"}
 
 
 def grep(lines: DataFrame, pattern: str, literal: bool = False, ignore_case: bool = False) -> DataFrame:
@@ -29,13 +36,17 @@ def enclosing(hits: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """
     s = spans.select(F.col(key).alias("_k"), "id", "start_line", "end_line")
     both = hits.join(s, (F.col(key) == F.col("_k")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")), "left")
-    best = F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), "id")).alias("enclosing")
-    return both.groupBy(*hits.columns).agg(best)
+    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "id", "start_line", "end_line")).alias("best")
+    inside = both.groupBy(*hits.columns).agg(best)
+    return inside.select(*hits.columns, F.col("best.id").alias("enclosing"), "best.start_line", "best.end_line")
 
 
-def grep_groups(found: DataFrame, limit: int = 60) -> DataFrame:
-    """enclosing, hits: the spans with most hits."""
-    return found.groupBy("path", "enclosing").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "path", "enclosing").limit(limit)
+def grep_groups(found: DataFrame, references: DataFrame, limit: int | None = 60) -> DataFrame:
+    """path, enclosing, hits, refs: the spans with hits, those most referred to first, then by path, span and id. found: (path, enclosing, start_line, end_line); references: (id, refs)."""
+    groups = found.groupBy("path", "enclosing").agg(F.count("*").alias("hits"), F.min("start_line").alias("start_line"), F.min("end_line").alias("end_line"))
+    counted = groups.join(references.select(F.col("id").alias("enclosing"), "refs"), "enclosing", "left").withColumn("refs", F.coalesce("refs", F.lit(0)))
+    ordered = counted.orderBy(F.desc("refs"), "path", "start_line", "end_line", "enclosing")
+    return (ordered.limit(limit) if limit else ordered).select("path", "enclosing", "hits", "refs")
 
 
 def document_frequency(docs: DataFrame, words: list[str], *fields: str) -> DataFrame:
@@ -53,36 +64,87 @@ def _saturated(count, length=None):
     return count / (count + SATURATION * (length if length is not None else 1.0))
 
 
-def lexical(docs: DataFrame, words: list[str], question: str = "") -> DataFrame:
-    """id, score > 0 of docs (id, name, qualified, signature, body, path, kind) for the terms; two scans, no shuffle of text."""
-    if not words:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    low = docs.select("id", "kind", "path", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "qualified", "signature", "body")))
-    weights = {r["term"]: r["idf"] for r in idf(document_frequency(low, words, "name", "qualified", "signature", "body")).collect()}  # one row per term
-    average = low.agg(F.avg(F.length("body")).alias("a")).first()["a"] or 1.0
-    length = 0.25 + 0.75 * F.length("body") / average
+def name_count(parts: Column, word: str) -> Column:
+    """How often a word is among a name's terms; one that shares its beginning counts RELATED, from three letters."""
+    exact = F.size(F.filter(parts, lambda p: p == F.lit(word)))
+    if len(word) < SHORT:
+        return exact.cast("double")
+    return exact + RELATED * F.size(F.filter(parts, lambda p: (p != F.lit(word)) & (p.startswith(word) | ((F.length(p) >= SHORT) & F.lit(word).startswith(p)))))
+
+
+def _whole(tokens: str, word: str) -> tuple[Column, Column]:
+    """How many of a text's terms are the word, and how many longer ones begin with it."""
+    exact = F.size(F.filter(tokens, lambda t: t == F.lit(word)))
+    return exact, F.size(F.filter(tokens, lambda t: (t != F.lit(word)) & t.startswith(word))) if len(word) >= SHORT else F.lit(0)
+
+
+def _fields(docs: DataFrame) -> DataFrame:
+    """id, kind, path, name, own (the qualified name), qualified (path and qualified name), signature, body."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return docs.select("id", "kind", text("path").alias("path"), text("name").alias("name"), text("qualified").alias("own"), F.concat_ws(" ", text("path"), text("qualified")).alias("qualified"), text("signature").alias("signature"), text("body").alias("body"))
+
+
+def _score(words: list[str], weights: dict[str, float], average: float, question: str) -> Column:
+    """Score of rows with counts c{word number}_{field}, length, kind, path, name, own and alias."""
+    length = 1 - LENGTH + LENGTH * F.col("length") / average
     score, matched = F.lit(0.0), F.lit(0)
-    for w in words:
-        each = {f: occurrences(f, F.lit(w)) for f in WEIGHTS}
+    for i, w in enumerate(words):
+        each = {f: F.col(f"c{i}_{f}") for f in WEIGHTS}
         own = sum((F.lit(WEIGHTS[f]) * _saturated(c, length if f == "body" else None) for f, c in each.items()), F.lit(0.0))
-        score = score + F.lit(weights[w]) * own
-        matched = matched + F.when(sum(each.values(), F.lit(0)) > 0, 1).otherwise(0)
-    asked = F.array(*(F.lit(w) for w in question.lower().split())) if question else None
-    if asked is not None:
-        score = score + F.when(F.array_contains(asked, F.col("name")) | F.array_contains(asked, F.col("qualified")), EXACT_BONUS * max(weights.values())).otherwise(0.0)
+        hit = reduce(lambda a, b: a | b, (c > 0 for c in each.values()))
+        score = score + F.when(hit, F.lit(weights[w]) * own).otherwise(0.0)
+        matched = matched + F.when(hit, 1).otherwise(0)
+    asked = sorted({x.lower() for x in re.findall(r"[\w.]+", question)})
+    if asked:
+        named = F.lower("name").isin(asked) | F.lower("own").isin(asked)
+        score = score + F.when(named & (score > 0), WEIGHTS["name"] * max(weights.values())).otherwise(0.0)
     score = score * F.sqrt(matched / F.lit(len(words)))
-    score = score * F.when(F.col("kind") == "file", FILE_PENALTY).when((F.col("kind") == "variable") & F.col("signature").contains("= require("), ALIAS_PENALTY).otherwise(1.0)
-    if "test" not in question.lower():
+    score = score * F.when(F.col("kind") == "file", FILE_PENALTY).when((F.col("kind") == "variable") & F.col("alias"), ALIAS_PENALTY).otherwise(1.0)
+    if not TEST_WORDS & {x.lower() for x in re.findall(r"\w+", question)}:
         score = score * F.when(is_test_path("path"), TEST_PENALTY).otherwise(1.0)
-    return low.select("id", score.alias("score")).filter("score > 0")
+    return score
+
+
+def lexical(docs: DataFrame, words: list[str], question: str = "") -> DataFrame:
+    """id, score > 0 of the SHORTLIST best docs (id, name, qualified, signature, body, path, kind) for the terms.
+
+    One scan of the text leaves counts by term and field; frequencies, lengths and the first score come from those.
+    The best of it are scored again by tiers: whole words, words that begin with the term, other fragments.
+    """
+    words = list(dict.fromkeys(words))
+    if not words:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    fields = _fields(docs)
+    rest = ("qualified", "signature", "body")
+    # What an array of one is exploded to is evaluated once, and not where it is used.
+    low = fields.select("*", F.explode(F.array(F.struct(all_terms("name").alias("parts"), *(F.lower(f).alias(f) for f in rest)))).alias("x"))
+    counts = [name_count(F.col("x.parts"), w).alias(f"c{i}_name") for i, w in enumerate(words)]
+    counts += [occurrences(F.col(f"x.{f}"), F.lit(w)).alias(f"c{i}_{f}") for i, w in enumerate(words) for f in rest]
+    kept = ("id", "kind", "path", "name", "own", "alias", "length")
+    first = low.select(*kept[:5], F.col("signature").rlike(r"=\s*require\s*\(").alias("alias"), F.length("body").alias("length"), *counts)
+    first = staged(first, "term-counts")
+    some = [reduce(lambda a, b: a | b, (F.col(f"c{i}_{f}") > 0 for f in WEIGHTS)) for i in range(len(words))]
+    totals = first.agg(F.count("*").alias("n"), F.avg("length").alias("a"), *(F.count_if(s).alias(f"d{i}") for i, s in enumerate(some))).first()
+    weights = {w: math.log(1 + (max(totals["n"], 1) - totals[f"d{i}"] + 0.5) / (totals[f"d{i}"] + 0.5)) for i, w in enumerate(words)}
+    average = totals["a"] or 1.0
+    best = shortlist(first.select("*", _score(words, weights, average, question).alias("score")))
+    best = staged(best.drop("score"), "shortlist")
+    again = fields.join(F.broadcast(best.drop("kind", "path", "name", "own")), "id")  # SHORTLIST rows
+    for f in rest:
+        again = again.select("*", F.explode(F.array(all_terms(f))).alias(f"t_{f}"))
+    for i, w in enumerate(words):
+        for f in rest:
+            exact, longer = _whole(f"t_{f}", w)
+            fragment = F.greatest(F.lit(0), F.col(f"c{i}_{f}") - exact - longer)
+            again = again.withColumn(f"c{i}_{f}", exact + RELATED * longer + FRAGMENT * fragment)
+    return again.select("id", _score(words, weights, average, question).alias("score")).filter("score > 0")
 
 
 def name_tiers(names: DataFrame, word: str) -> DataFrame:
-    """id, exact, related: how many parts (parts) of a name are the word, or share its beginning (three letters or more)."""
-    w = F.lit(word)
-    exact = F.size(F.filter("parts", lambda p: p == w))
-    related = F.size(F.filter("parts", lambda p: (p != w) & (F.least(F.length(p), F.length(w)) >= 3) & (p.startswith(w) | F.lit(word).startswith(p))))
-    return names.select("id", exact.cast("long").alias("exact"), related.cast("long").alias("related"), (exact + RELATED * related).alias("count"))
+    """id, exact, related, count: how many terms (parts) of a name are the word, or share its beginning."""
+    exact = F.size(F.filter("parts", lambda p: p == F.lit(word)))
+    count = name_count(F.col("parts"), word)
+    return names.select("id", exact.cast("long").alias("exact"), F.round((count - exact) / RELATED).cast("long").alias("related"), count.alias("count"))
 
 
 def shortlist(scored: DataFrame, limit: int = SHORTLIST) -> DataFrame:
@@ -90,14 +152,15 @@ def shortlist(scored: DataFrame, limit: int = SHORTLIST) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """Usage edges among what lies within so many hops of the seeds (id), both ways."""
-    e = usage(edges).select("source", "target")
-    both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    """Usage edges, both ways and as often as they are there, among what lies within so many hops of the seeds (id)."""
+    e = usage(edges).filter("source <> target").select("source", "target")
+    both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    steps = both.distinct()
     near = seeds.select("id").distinct()
     for _ in range(hops):
-        near = near.unionByName(near.join(both, near["id"] == both["source"]).select(F.col("target").alias("id"))).distinct()
-    inside = near.withColumnRenamed("id", "source")
-    return e.join(inside, "source", "left_semi").join(near.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+        near = near.unionByName(near.join(steps, near["id"] == steps["source"]).select(F.col("target").alias("id"))).distinct()
+    near = staged(near, "near")
+    return both.join(near.withColumnRenamed("id", "source"), "source", "left_semi").join(near.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
 def blend(scored: DataFrame, central: DataFrame) -> DataFrame:
@@ -109,7 +172,7 @@ def blend(scored: DataFrame, central: DataFrame) -> DataFrame:
 
 def ask(nodes: DataFrame, edges: DataFrame, words: list[str], question: str = "", limit: int = 8) -> DataFrame:
     """The best definitions for a question's terms: lexical shortlist, local PageRank, blend."""
-    few = shortlist(lexical(nodes, words, question))
+    few = staged(lexical(nodes, words, question), "lexical")
     seeds = few.orderBy(F.desc("score"), "id").limit(SEEDS).select("id", F.col("score").alias("weight"))
     if seeds.isEmpty():
         return few.limit(0)

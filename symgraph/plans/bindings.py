@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import text
 from symgraph.operators import graph, incremental, meaning, search, sessions
+from symgraph.session import staged
 from symgraph.sources import views
 from symgraph.sources.views import table
 
@@ -45,7 +46,7 @@ EDGES = f"""{RAW}, edges AS (
 GRAPH = f"WITH {NODES}, {EDGES}"
 REFS = f"""{GRAPH}, refs AS (
   SELECT target AS id, count(*) AS refs FROM edges WHERE relation NOT IN ('contains', 'imports') AND source <> target AND target IN (SELECT id FROM nodes) GROUP BY target)"""
-PARTS = "WITH RECURSIVE pe AS (SELECT DISTINCT l_partkey AS source, (7 * l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS target FROM lineitem WHERE l_quantity <= 5)"
+PARTS = "WITH RECURSIVE pe AS (SELECT DISTINCT l_partkey AS source, (7 * l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS target FROM lineitem)"
 LINES = """WITH files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, text AS content FROM documents), lines AS (
   SELECT doc_id, path, i AS line_no, ls[i] AS line FROM (SELECT doc_id, path, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, path, string_split(content, chr(10)) AS ls FROM files)))"""
 SPANS = """spans AS (
@@ -64,9 +65,9 @@ def of(spark: SparkSession, column: str, *values) -> DataFrame:
 # Graph
 
 
-@query(f"{GRAPH} SELECT source, target, relation, confidence, ord FROM edges WHERE relation = 'calls'")
+@query(f"{GRAPH} SELECT source, target, relation, confidence, ord FROM edges")
 def edge_dedupe_first(spark, d):
-    return star(spark, d)[1].filter("relation = 'calls'")
+    return star(spark, d)[1]
 
 
 @query(f"{REFS} SELECT refs.id, refs.refs, name, kind FROM refs JOIN nodes USING (id) WHERE kind <> 'file' ORDER BY refs DESC, id LIMIT 12")
@@ -123,7 +124,17 @@ def closure_out(spark, d):
     return graph.reach(views.part_edges(spark, d), of(spark, "id", 1)).select("seed", "id")
 
 
-@query()
+def _traverse_sql(depth: int) -> str:
+    steps = ["f0 AS (SELECT '1' AS id, 0::BIGINT AS pos, '' AS parent)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM f{i}" for i in range(k))
+        steps.append(f"""f{k} AS MATERIALIZED (SELECT id, (SELECT count(*) - 1 FROM ({seen})) + row_number() OVER (ORDER BY pr, source, target) AS pos, parent FROM (
+          SELECT e.target AS id, p.id AS parent, p.pos AS pr, e.source, e.target, row_number() OVER (PARTITION BY e.target ORDER BY p.pos, e.source) AS rn FROM f{k - 1} p JOIN e ON e.source = p.id WHERE e.target NOT IN ({seen})) WHERE rn = 1)""")
+    rows = " UNION ALL ".join(f"SELECT pos::INT AS pos, {k}::INT AS level, parent, id AS other, 'calls' AS relation, false AS inferred FROM f{k}" for k in range(1, depth + 1))
+    return f"{PARTS}, e AS (SELECT DISTINCT source::VARCHAR AS source, target::VARCHAR AS target FROM pe WHERE source <> target), {', '.join(steps)} SELECT * FROM ({rows}) WHERE pos <= 400"
+
+
+@query(_traverse_sql(4))
 def traverse_order(spark, d):
     e = views.part_edges(spark, d).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit("calls").alias("relation"), F.lit("extracted").alias("confidence"))
     return graph.traverse(e, "1", "out", 4)
@@ -150,17 +161,10 @@ def symbol_lookup_tiers(spark, d):
     return graph.lookup(code_nodes(spark, d), of(spark, "query", "f1.py#small.ring", "small.ring", "ring", "nothing")).withColumn("tier", F.col("tier").cast("long"))
 
 
-@query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id % 300 AS path FROM documents), s AS (
+@query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id % (SELECT count(*) FROM documents) AS path FROM documents), s AS (
   SELECT DISTINCT path, unnest([path, split_part(path, '/', 2) || '/' || split_part(path, '/', 3), split_part(path, '/', 3)]) AS suffix FROM f)
   SELECT suffix, min(path) AS path FROM s WHERE suffix IN (SELECT lang || '/' || doc_id FROM documents) GROUP BY 1 HAVING count(DISTINCT path) = 1""")
 def suffix_unique(spark, d):
-    docs = table(spark, d, "documents")
-    files = docs.select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % 300).cast("string")).alias("path"))
-    return graph.suffix_unique(files, docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("suffix")))
-
-
-@query(ORACLES["suffix_unique"].replace("doc_id % 300", "doc_id % (SELECT count(*) FROM documents)"))
-def suffix_unique_whole(spark, d):
     docs = table(spark, d, "documents")
     files = docs.select(F.concat_ws("/", "source", "lang", (F.col("doc_id") % F.lit(max(1, docs.count()))).cast("string")).alias("path"))
     return graph.suffix_unique(files, docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("suffix")))
@@ -184,7 +188,7 @@ def external_antijoin(spark, d):
 
 
 INHERITED = """WITH RECURSIVE par AS (SELECT DISTINCT s_suppkey AS child, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) AS parent FROM supplier),
-  meth AS (SELECT DISTINCT l_suppkey AS owner, l_shipmode AS name, 'x' AS id FROM (SELECT l_suppkey, l_returnflag || l_linenumber AS l_shipmode FROM lineitem WHERE l_quantity > 48)),
+  meth AS (SELECT DISTINCT l_suppkey AS owner, l_shipmode AS name, 'x' AS id FROM (SELECT l_suppkey, l_returnflag || l_linenumber AS l_shipmode FROM lineitem)),
   calls AS (SELECT DISTINCT s_suppkey AS owner, r || n AS name FROM supplier, (VALUES ('A'), ('N'), ('R')) t(r), range(1, 8) u(n)),
   up AS (SELECT owner, name, owner AS now, 0 AS level FROM calls UNION SELECT owner, name, parent, level + 1 FROM up JOIN par ON par.child = up.now WHERE level < 3),
   hit AS (SELECT DISTINCT up.owner, up.name, now || '.' || up.name AS id, level FROM up JOIN meth ON meth.owner = up.now AND meth.name = up.name WHERE level > 0),
@@ -199,15 +203,15 @@ def inherited_lookup(spark, d):
     s = lambda c: c.cast("string")
     parents = supplier.select(s(F.col("s_suppkey")).alias("child"), s((F.col("s_suppkey") * 3 + 1) % n).alias("parent")).distinct()
     name = F.concat("l_returnflag", s(F.col("l_linenumber")))
-    methods = lines.filter("l_quantity > 48").select(s(F.col("l_suppkey")).alias("owner"), name.alias("name")).distinct().withColumn("id", F.concat_ws(".", "owner", "name"))
+    methods = lines.select(s(F.col("l_suppkey")).alias("owner"), name.alias("name")).distinct().withColumn("id", F.concat_ws(".", "owner", "name"))
     names = F.array(*(F.lit(f"{r}{k}") for r in "ANR" for k in range(1, 8)))
     calls = supplier.select(s(F.col("s_suppkey")).alias("owner"), F.explode(names).alias("name"))
     return graph.inherited(methods, parents, calls).withColumn("level", F.col("level").cast("long"))
 
 
 BROKEN = """bn AS (SELECT CASE WHEN o_orderkey % 500 = 0 THEN 'dup' ELSE 'o/' || o_orderkey END AS id, CASE WHEN o_orderkey % 700 = 1 THEN '/abs' ELSE 'o/' || o_orderkey END AS path,
-  (o_orderkey % 9)::BIGINT AS start_line, (o_orderkey % 11)::BIGINT AS end_line FROM orders WHERE o_orderkey < 1400),
- be AS (SELECT DISTINCT 'o/' || l_orderkey AS source, 'o/' || l_partkey * 2 AS target, CASE WHEN l_linenumber % 2 = 0 THEN 'imports' ELSE 'calls' END AS relation FROM lineitem WHERE l_orderkey < 1500)"""
+  (o_orderkey % 9)::BIGINT AS start_line, (o_orderkey % 11)::BIGINT AS end_line FROM orders),
+ be AS (SELECT DISTINCT 'o/' || l_orderkey AS source, 'o/' || l_partkey * 2 AS target, CASE WHEN l_linenumber % 2 = 0 THEN 'imports' ELSE 'calls' END AS relation FROM lineitem)"""
 
 
 @query(f"""WITH {BROKEN} SELECT DISTINCT rule, id FROM (
@@ -215,10 +219,7 @@ BROKEN = """bn AS (SELECT CASE WHEN o_orderkey % 500 = 0 THEN 'dup' ELSE 'o/' ||
   UNION ALL SELECT 'id outside path', id FROM bn WHERE id <> path AND NOT starts_with(id, path || '#') UNION ALL SELECT 'span', id FROM bn WHERE start_line < 1 OR end_line < start_line
   UNION ALL SELECT 'unknown source', source FROM be WHERE source NOT IN (SELECT id FROM bn) UNION ALL SELECT 'unknown target', target FROM be WHERE relation = 'calls' AND target NOT IN (SELECT id FROM bn))""")
 def invariants(spark, d):
-    return _invariants(table(spark, d, "orders").filter("o_orderkey < 1400"), table(spark, d, "lineitem").filter("l_orderkey < 1500"))
-
-
-def _invariants(o, lines):
+    o, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     key = F.col("o_orderkey")
     name = F.concat(F.lit("o/"), key.cast("string"))
     nodes = o.select(F.when(key % 500 == 0, "dup").otherwise(name).alias("id"), F.when(key % 700 == 1, "/abs").otherwise(name).alias("path"), (key % 9).alias("start_line"), (key % 11).alias("end_line"))
@@ -227,11 +228,6 @@ def _invariants(o, lines):
     return graph.validate(nodes, edges)
 
 
-@query(ORACLES["invariants"].replace(" WHERE o_orderkey < 1400", "").replace(" WHERE l_orderkey < 1500", ""))
-def invariants_whole(spark, d):
-    return _invariants(table(spark, d, "orders"), table(spark, d, "lineitem"))
-
-
 @query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_custkey AS owner FROM orders WHERE o_orderkey % 10 <> 3),
   b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_custkey + (o_orderkey % 14 = 0)::INT AS owner FROM orders WHERE o_orderkey % 10 <> 4),
   j AS (SELECT coalesce(a.id, b.id) AS id, a.id IS NULL AS added, b.id IS NULL AS gone, a.status IS DISTINCT FROM b.status AS s, a.owner IS DISTINCT FROM b.owner AS o FROM a FULL JOIN b ON a.id = b.id)
@@ -281,7 +277,7 @@ def grep_literal(spark, d):
 
 
 ENCLOSING = f"""{LINES}, {SPANS}, hits AS (SELECT doc_id, path, line_no FROM lines WHERE regexp_matches(line, 'tion')),
-  f AS (SELECT doc_id, path, line_no, id AS enclosing FROM (SELECT h.*, s.id, row_number() OVER (PARTITION BY h.doc_id, line_no ORDER BY s.end_line - s.start_line, s.id) AS rn FROM hits h LEFT JOIN spans s ON s.doc_id = h.doc_id AND h.line_no BETWEEN s.start_line AND s.end_line) WHERE rn = 1)"""
+  f AS (SELECT doc_id, path, line_no, id AS enclosing, start_line, end_line FROM (SELECT h.*, s.id, s.start_line, s.end_line, row_number() OVER (PARTITION BY h.doc_id, line_no ORDER BY s.end_line - s.start_line, s.id) AS rn FROM hits h LEFT JOIN spans s ON s.doc_id = h.doc_id AND h.line_no BETWEEN s.start_line AND s.end_line) WHERE rn = 1)"""
 
 
 def _enclosed(spark, d):
@@ -290,14 +286,19 @@ def _enclosed(spark, d):
     return search.enclosing(hits, views.doc_spans(files), "doc_id")
 
 
-@query(f"{ENCLOSING} SELECT * FROM f")
+@query(f"{ENCLOSING} SELECT doc_id, path, line_no, enclosing FROM f")
 def grep_enclosing(spark, d):
-    return _enclosed(spark, d)
+    return _enclosed(spark, d).select("doc_id", "path", "line_no", "enclosing")
 
 
-@query(f"{ENCLOSING} SELECT path, enclosing, count(*) AS hits FROM f GROUP BY 1, 2 ORDER BY hits DESC, path, enclosing NULLS FIRST LIMIT 60")
+@query(f"""{ENCLOSING}, r AS (SELECT path || '#s1' AS id, count(*) AS refs FROM files JOIN events ON event_id % (SELECT count(*) FROM documents) = doc_id GROUP BY 1),
+  g AS (SELECT path, enclosing, count(*) AS hits, min(start_line) AS s, min(end_line) AS e FROM f GROUP BY 1, 2) SELECT path, enclosing, hits, coalesce(refs, 0)::BIGINT AS refs FROM g LEFT JOIN r ON r.id = enclosing
+  ORDER BY refs DESC, path, s NULLS FIRST, e NULLS FIRST, enclosing NULLS FIRST LIMIT 60""")
 def grep_groups(spark, d):
-    return search.grep_groups(_enclosed(spark, d))
+    files = views.doc_files(spark, d)
+    into = table(spark, d, "events").select((F.col("event_id") % F.lit(max(1, files.count()))).alias("doc_id"))
+    refs = files.select("doc_id", F.concat("path", F.lit("#s1")).alias("id")).join(into, "doc_id").groupBy("id").agg(F.count("*").alias("refs"))
+    return search.grep_groups(_enclosed(spark, d), refs)
 
 
 def _stem_sql(w: str) -> str:
@@ -306,21 +307,28 @@ def _stem_sql(w: str) -> str:
 
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-TERMS = f"""t AS (SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(p_name, ' ', '') || 'RingsOf' || p_brand || ' HTTPServer ' || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')) AS x FROM part),
-  u AS (SELECT p_partkey, unnest(regexp_extract_all(x, '[a-z0-9]+')) AS w FROM t), v AS (SELECT DISTINCT p_partkey, {_stem_sql('w')} AS term FROM u WHERE w NOT IN ({STOP}))"""
+
+
+def _terms_sql(x: str) -> str:
+    """Terms of a text as a list, in order; RE2 has no look-ahead, so case changes get a blank first."""
+    parts = f"regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+    return f"list_filter(list_transform(list_transform({parts}, lambda w: lower(w)), lambda w: {_stem_sql('w')}), lambda w: length(w) > 1 AND w NOT IN ({STOP}))"
+
+
+TERMS = f"""t AS (SELECT p_partkey, replace(p_name, ' ', '') || 'RingsOf' || p_brand || ' HTTPServer2Go ' || p_type AS x FROM part), v AS (SELECT DISTINCT p_partkey, unnest({_terms_sql('x')}) AS term FROM t)"""
 
 
 def _part_terms(spark, d):
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("RingsOf"), "p_brand", F.lit(" HTTPServer "), "p_type")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("RingsOf"), "p_brand", F.lit(" HTTPServer2Go "), "p_type")
     return table(spark, d, "part").select("p_partkey", F.explode(text.terms(name)).alias("term"))
 
 
-@query(f"WITH {TERMS} SELECT p_partkey, term FROM v WHERE length(term) > 1")
+@query(f"WITH {TERMS} SELECT p_partkey, term FROM v")
 def tokenize_terms(spark, d):
     return _part_terms(spark, d)
 
 
-@query(f"WITH {TERMS} SELECT term, count(*) AS df FROM v WHERE length(term) > 1 GROUP BY 1")
+@query(f"WITH {TERMS} SELECT term, count(*) AS df FROM v GROUP BY 1")
 def term_frequency(spark, d):
     return _part_terms(spark, d).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -352,18 +360,28 @@ def _count(f: str, w: str) -> str:
 
 
 def _lexical_sql() -> str:
-    fields = {"name": 4.0, "qualified": 2.0, "signature": 1.5, "body": 2.2}
-    words = WORDS[:3]
-    some = lambda w: " OR ".join(f"contains({f}, '{w}')" for f in fields)
-    idfs = ", ".join(f"ln(1 + (count(*) - count(*) FILTER ({some(w)}) + 0.5) / (count(*) FILTER ({some(w)}) + 0.5)) AS i{k}" for k, w in enumerate(words))
-    parts = []
-    for k, w in enumerate(words):
-        own = " + ".join(f"{x} * {_count(f, w)} / ({_count(f, w)} + 1.2 * {'(0.25 + 0.75 * length(body) / a)' if f == 'body' else '1.0'})" for f, x in fields.items())
-        parts.append(f"i{k} * ({own})")
-    matched = " + ".join(f"({some(w)})::INT" for w in words)
-    return f"""lowd AS (SELECT 'd/' || doc_id AS id, doc_id, lower(split_part(text, ' ', 1)) AS name, lower(source || '.' || split_part(text, ' ', 1)) AS qualified, lower(text[1:60]) AS signature, lower(text) AS body FROM documents),
-      st AS (SELECT {idfs}, avg(length(body)) AS a FROM lowd),
-      lex AS (SELECT id, ({' + '.join(parts)}) * sqrt(({matched}) / {len(words)}.0) * CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 1.0 END * CASE WHEN doc_id % 10 = 0 THEN 0.4 ELSE 1.0 END AS score FROM lowd, st)"""
+    """Two passes: counts of parts of the text for all, then tiers of whole terms for the 600 best."""
+    words, fields = WORDS[:3], {"n": 4.0, "q": 2.0, "s": 1.5, "b": 2.2}
+    first = {(f, k): f"{f}{k}" for f in fields for k in range(len(words))}
+
+    def score(c: dict) -> str:
+        some = [" OR ".join(f"{c[f, k]} > 0" for f in fields) for k in range(len(words))]
+        own = [" + ".join(f"{x} * {c[f, k]} / ({c[f, k]} + 1.2 * {'(0.25 + 0.75 * len / a)' if f == 'b' else '1.0'})" for f, x in fields.items()) for k in range(len(words))]
+        every = " + ".join(f"i{k} * ({own[k]})" for k in range(len(words)))
+        matched = " + ".join(f"({x})::INT" for x in some)
+        return f"({every}) * sqrt(({matched}) / {len(words)}.0) * CASE WHEN kind = 'file' THEN 0.5 ELSE 1.0 END * CASE WHEN starts_with(path, 'tests/') THEN 0.4 ELSE 1.0 END"
+
+    names = ", ".join(f"len(list_filter(parts, lambda x: x = '{w}')) + 0.65 * len(list_filter(parts, lambda x: x <> '{w}' AND (starts_with(x, '{w}') OR (length(x) >= 3 AND starts_with('{w}', x))))) AS n{k}" for k, w in enumerate(words))
+    counts = ", ".join(f"{_count(f'lower({t})', w)} AS {f}{k}" for k, w in enumerate(words) for f, t in (("q", "qual"), ("s", "sig"), ("b", "text")))
+    idfs = ", ".join(f"ln(1 + (count(*) - count(*) FILTER ({x}) + 0.5) / (count(*) FILTER ({x}) + 0.5)) AS i{k}" for k, x in enumerate(" OR ".join(f"{f}{k} > 0" for f in fields) for k in range(len(words))))
+    exact = lambda f, w: f"len(list_filter({f}t, lambda x: x = '{w}'))"
+    longer = lambda f, w: f"len(list_filter({f}t, lambda x: x <> '{w}' AND starts_with(x, '{w}')))"
+    tiers = ", ".join(f"{exact(f, w)} + 0.65 * {longer(f, w)} + 0.3 * greatest(0, {f}{k} - {exact(f, w)} - {longer(f, w)}) AS {f}x{k}" for k, w in enumerate(words) for f in "qsb")
+    return f"""d0 AS (SELECT doc_id, 'd/' || doc_id AS id, text, split_part(text, ' ', 1) AS name, source || '.' || split_part(text, ' ', 1) AS own, text[1:60] AS sig, CASE WHEN doc_id % 10 = 0 THEN 'tests/x' || doc_id ELSE 'src/x' || doc_id END AS path, CASE WHEN doc_id % 7 = 0 THEN 'file' ELSE 'function' END AS kind FROM documents),
+      d1 AS (SELECT *, path || ' ' || own AS qual, {_terms_sql('name')} AS parts, length(text) AS len FROM d0), d2 AS (SELECT id, kind, path, qual, sig, text, len, {names}, {counts} FROM d1),
+      st AS (SELECT {idfs}, avg(len) AS a FROM d2), p1 AS (SELECT d2.*, st.*, {score(first)} AS score1 FROM d2, st), p2 AS (SELECT * FROM p1 WHERE score1 > 0 ORDER BY score1 DESC, id LIMIT 600),
+      p3 AS (SELECT *, {_terms_sql('qual')} AS qt, {_terms_sql('sig')} AS st, {_terms_sql('text')} AS bt FROM p2), p4 AS (SELECT *, {tiers} FROM p3),
+      lex AS (SELECT id, {score({(f, k): (f"{f}{k}" if f == "n" else f"{f}x{k}") for f in fields for k in range(len(words))})} AS score FROM p4)"""
 
 
 @query(f"WITH {_lexical_sql()} SELECT id, round(score, 6) AS score FROM lex WHERE score > 0")
@@ -371,21 +389,45 @@ def lexical_rank(spark, d):
     return search.lexical(doc_symbols(spark, d), list(WORDS[:3])).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_lexical_sql()}, s AS (SELECT * FROM lex WHERE score > 0 ORDER BY score DESC, id LIMIT 600), c AS (SELECT 'd/' || doc_id AS id, (doc_id % 17) / 100.0 AS rank FROM documents) SELECT id, round(0.75 * score / (SELECT max(score) FROM s) + 0.25 * rank / (SELECT max(rank) FROM c), 6) AS score FROM s JOIN c USING (id)")
-def rank_blend(spark, d):
-    central = table(spark, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("id"), ((F.col("doc_id") % 17) / 100.0).alias("rank"))
-    return search.blend(search.shortlist(search.lexical(doc_symbols(spark, d), list(WORDS[:3]))), central).select("id", F.round("score", 6).alias("score"))
+def _doc_edges(spark, d):
+    n = F.lit(max(1, table(spark, d, "documents").count()))
+    return table(spark, d, "events").select(F.concat(F.lit("d/"), (F.col("event_id") % n).cast("string")).alias("source"), F.concat(F.lit("d/"), ((F.col("event_id") * 31 + F.col("user_id")) % n).cast("string")).alias("target"), F.lit("calls").alias("relation"))
 
 
-@query()
+def _degree_sql() -> str:
+    n = "(SELECT count(*) FROM documents)"
+    return f"c AS (SELECT id, count(*)::DOUBLE AS rank FROM (SELECT 'd/' || (event_id * 31 + user_id) % {n} AS id, 'd/' || event_id % {n} AS source FROM events) WHERE id <> source GROUP BY 1)"
+
+
+@query(f"WITH {_lexical_sql()}, s AS (SELECT * FROM lex WHERE score > 0), {_degree_sql()}, m AS (SELECT max(score) AS s, (SELECT max(rank) FROM c) AS r FROM s) SELECT s.id, round(0.75 * score / m.s + 0.25 * coalesce(rank / m.r, 0), 6) AS score FROM s LEFT JOIN c USING (id), m")
+def rank_blend(spark, d):
+    """The blend with a plain centrality, the count of edges that come in."""
+    e = _doc_edges(spark, d).filter("source <> target")
+    central = e.groupBy(F.col("target").alias("id")).agg(F.count("*").cast("double").alias("rank"))
+    return search.blend(staged(search.lexical(doc_symbols(spark, d), list(WORDS[:3])), "lexical"), central).select("id", F.round("score", 6).alias("score"))
+
+
+def _ask_sql() -> str:
+    """The whole of ask: lexical score, two steps around the 200 best, twenty rounds of PageRank both ways, blend, the 8 best."""
+    n = "(SELECT count(*) FROM documents)"
+    steps = ["r0 AS (SELECT id, share AS rank FROM sd)"]
+    for i in range(1, 21):
+        steps.append(f"""r{i} AS MATERIALIZED (SELECT id, sum(r) AS rank FROM (SELECT o.target AS id, 0.85 * sum(rank / deg) AS r FROM r{i - 1} JOIN o ON o.source = r{i - 1}.id GROUP BY 1
+          UNION ALL SELECT id, share * (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT source FROM o))) FROM sd) GROUP BY id)""")
+    return f"""{_lexical_sql()}, s AS MATERIALIZED (SELECT * FROM lex WHERE score > 0), sd AS MATERIALIZED (SELECT id, score / sum(score) OVER () AS share FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 200)),
+      e AS (SELECT * FROM (SELECT 'd/' || event_id % {n} AS source, 'd/' || (event_id * 31 + user_id) % {n} AS target FROM events) WHERE source <> target), b AS MATERIALIZED (SELECT source, target FROM e UNION ALL SELECT target, source FROM e),
+      n1 AS (SELECT id FROM sd UNION SELECT b.target FROM b JOIN sd ON b.source = sd.id), n2 AS MATERIALIZED (SELECT id FROM n1 UNION SELECT b.target FROM b JOIN n1 ON b.source = n1.id),
+      o AS MATERIALIZED (SELECT source, target, count(*) OVER (PARTITION BY source) AS deg FROM b WHERE source IN (SELECT id FROM n2) AND target IN (SELECT id FROM n2)), {', '.join(steps)}
+      SELECT s.id, round(0.75 * score / (SELECT max(score) FROM s) + 0.25 * coalesce(rank, 0) / (SELECT max(rank) FROM r20), 6) AS score FROM s LEFT JOIN r20 USING (id) ORDER BY 2 DESC, 1 LIMIT 8"""
+
+
+@query(f"WITH {_ask_sql()}")
 def ask_ranked(spark, d):
-    n = F.lit(max(1, table(spark, d, "documents").count()))
-    e = table(spark, d, "events").select(F.concat(F.lit("d/"), (F.col("event_id") % n).cast("string")).alias("source"), F.concat(F.lit("d/"), ((F.col("event_id") * 31 + F.col("user_id")) % n).cast("string")).alias("target"), F.lit("calls").alias("relation"))
-    return search.ask(doc_symbols(spark, d), e, list(WORDS[:3]))
+    return search.ask(doc_symbols(spark, d), _doc_edges(spark, d), list(WORDS[:3])).select("id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS ps FROM part), c AS (SELECT id, len(list_filter(ps, lambda x: x = 'ring')) AS exact,
-  len(list_filter(ps, lambda x: x <> 'ring' AND least(length(x), 4) >= 3 AND (starts_with(x, 'ring') OR starts_with('ring', x)))) AS related FROM p) SELECT id, exact::BIGINT AS exact, related::BIGINT AS related, exact + 0.65 * related AS count FROM c""")
+  len(list_filter(ps, lambda x: x <> 'ring' AND (starts_with(x, 'ring') OR (length(x) >= 3 AND starts_with('ring', x))))) AS related FROM p) SELECT id, exact::BIGINT AS exact, related::BIGINT AS related, exact + 0.65 * related AS count FROM c""")
 def name_tiers(spark, d):
     return search.name_tiers(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("parts")), "ring")
 
@@ -404,10 +446,10 @@ def residual_lines(spark, d):
     return search.residual(views.doc_lines(files), views.doc_spans(files), "doc_id")
 
 
-@query(r"SELECT doc_id, path, regexp_matches(path, '(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|[._-](test|spec)\.[^/]*$') AS is_test FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'tests/a.py' WHEN 1 THEN 'src/test_b.py' WHEN 2 THEN 'src/c.spec.ts' ELSE 'src/contest.py' END AS path FROM documents)")
+@query(r"SELECT doc_id, path, regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$') AS is_test FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'tests/a.py' WHEN 1 THEN 'src/test_b.py' WHEN 2 THEN 'src/c.spec.ts' WHEN 3 THEN 'specs/d.rb' WHEN 4 THEN 'pkg/e_test.go' ELSE 'src/contest.py' END AS path FROM documents)")
 def test_path_penalty(spark, d):
-    k = F.col("doc_id") % 4
-    path = F.when(k == 0, "tests/a.py").when(k == 1, "src/test_b.py").when(k == 2, "src/c.spec.ts").otherwise("src/contest.py")
+    k = F.col("doc_id") % 6
+    path = F.when(k == 0, "tests/a.py").when(k == 1, "src/test_b.py").when(k == 2, "src/c.spec.ts").when(k == 3, "specs/d.rb").when(k == 4, "pkg/e_test.go").otherwise("src/contest.py")
     return table(spark, d, "documents").select("doc_id", path.alias("path")).withColumn("is_test", text.is_test_path("path"))
 
 
@@ -510,16 +552,10 @@ def turn_billing(spark, d):
     return sessions.turn_billing(c.select("conv_id", F.floor(F.col("turn") / 2).alias("message_id"), F.col("turn").alias("seq"), F.when(F.col("role") != "system", F.length("text")).cast("long").alias("micros")))
 
 
-@query("""WITH m AS (SELECT DISTINCT user_id AS key, event_id % 300 AS doc_id FROM events), b AS (SELECT key, count(*) AS files, sum(n_chars) AS base FROM m JOIN documents USING (doc_id) GROUP BY 1),
+@query("""WITH m AS (SELECT DISTINCT user_id AS key, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events), b AS (SELECT key, count(*) AS files, sum(n_chars) AS base FROM m JOIN documents USING (doc_id) GROUP BY 1),
   t AS (SELECT key, files, round_even(base / 4.0, 0)::BIGINT AS base_tokens, round_even((key * 997 % 90000) / 4.0, 0)::BIGINT AS pack_tokens FROM b)
   SELECT *, base_tokens - pack_tokens AS saved, round_even(100.0 * (base_tokens - pack_tokens) / base_tokens, 0)::BIGINT AS percent FROM t WHERE base_tokens > pack_tokens""")
 def savings_baseline(spark, d):
-    m = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 300).alias("path"), (F.col("user_id") * 997 % 90000).alias("packed_chars"))
-    return sessions.savings(m, table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("chars")))
-
-
-@query(ORACLES["savings_baseline"].replace("event_id % 300", "event_id % (SELECT count(*) FROM documents)"))
-def savings_baseline_whole(spark, d):
     docs = table(spark, d, "documents")
     m = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % F.lit(max(1, docs.count()))).alias("path"), (F.col("user_id") * 997 % 90000).alias("packed_chars"))
     return sessions.savings(m, docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("chars")))
@@ -539,7 +575,9 @@ def latest_session(spark, d):
 # Meaning
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT source, doc_id, least(n_chars, 24000) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+  w AS (SELECT source, doc_id, cost, rn, cost AS held, 0::BIGINT AS batch FROM x WHERE rn = 1 UNION ALL SELECT x.source, x.doc_id, x.cost, x.rn, CASE WHEN w.held > 0 AND w.held + x.cost > 48000 THEN x.cost ELSE w.held + x.cost END, w.batch + (w.held > 0 AND w.held + x.cost > 48000)::BIGINT
+  FROM w JOIN x ON x.rn = w.rn + 1 AND x.source IS NOT DISTINCT FROM w.source) SELECT source, doc_id, cost, batch FROM w""")
 def batch_pack(spark, d):
     rows = table(spark, d, "documents").select("source", "doc_id", F.least("n_chars", F.lit(24_000)).alias("cost"))
     return meaning.pack(rows, "source", "doc_id", "cost")
@@ -555,13 +593,8 @@ def concept_merge(spark, d):
     return meaning.merge_concepts(drafts)
 
 
-@query("SELECT DISTINCT text[1:12] AS name, trim(regexp_replace(lower(translate(regexp_replace(strip_accents(text[1:12]), '[^\\x00-\\x7F]', '', 'g'), '', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE lang <> 'de'")
-def slugify_ascii(spark, d):
-    return table(spark, d, "documents").filter("lang <> 'de'").select(F.substring("text", 1, 12).alias("name")).distinct().withColumn("slug", text.slug("name"))
-
-
 @query()
-def slugify_whole(spark, d):
+def slugify_ascii(spark, d):
     """Whole texts of all documents; SQL's accent stripping differs on some letters."""
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("name")).withColumn("slug", text.slug("name")).select("doc_id", "slug")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from symgraph.functions import text
 from symgraph.operators import graph, search
 from symgraph.plans.workspace import Workspace
-from symgraph.session import local_session
+from symgraph.session import local_session, staged
 
-LINE, GROUP_LINES = 160, 8
+LINE, GROUP_LINES, GROUPS, CALLERS = 160, 8, 60, 400
 
 
 def _span(r) -> str:
@@ -51,24 +52,30 @@ class Reader:
             raise ValueError("direction is in or out")
         nodes, edges = self.workspace.tables()
         spark = self.workspace.spark
-        seeds = [r["id"] for r in graph.lookup(nodes, spark.createDataFrame([(_text(symbol),)], "query string")).orderBy("id").limit(10).collect()]
+        seeds = [r["id"] for r in graph.lookup(nodes, spark.createDataFrame([(_text(symbol),)], "query string")).orderBy("id").collect()]
         rows = []
         for seed in seeds:
-            found = graph.traverse(edges, seed, direction, steps).orderBy("pos").collect()
+            starts = graph.starts_of(nodes, seed) if "#" not in seed else [seed]
+            found = graph.traverse(edges, seed, direction, steps, CALLERS + 1, starts).orderBy("pos").collect()
+            more = found[CALLERS:]
+            found = found[:CALLERS]
             rows.append(seed)
             rows += [f"{'  ' * r['level']}{'<-' if direction == 'in' else '->'} {r['other']} {r['relation']}{' (inferred)' if r['inferred'] else ''}{'' if r['parent'] == seed else ' via ' + r['parent']}" for r in found] or ["  none"]
+            rows += [f"  … stopped after {CALLERS} symbols; more exist"] if more else []
         return "\n".join(rows) or f"no symbol {symbol}"
 
     def grep(self, pattern: str, literal: bool = False, ignore_case: bool = False, scope: str | None = None) -> str:
-        _text(pattern)
-        nodes, _ = self.workspace.tables()
+        _pattern(_text(pattern), literal)
+        nodes, edges = self.workspace.tables()
         files = self.workspace.files()
         if scope:
             files = files.filter(F.col("path").startswith(scope.rstrip("/") + "/"))
         lines = files.select("path", F.posexplode(F.split("content", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]", -1)).alias("p", "line")).withColumn("line_no", F.col("p") + 1).drop("p")
         hits = search.grep(lines, pattern, literal, ignore_case)
         found = search.enclosing(hits, nodes.filter("kind <> 'file'"), "path").withColumn("enclosing", F.coalesce("enclosing", "path"))
-        groups = search.grep_groups(found).collect()
+        found = staged(found, "hits")
+        every = search.grep_groups(found, graph.reference_counts(nodes, edges), None)
+        groups, n_groups = every.limit(GROUPS).collect(), every.count()
         total = found.agg(F.count("*").alias("n"), F.count_distinct("path").alias("f")).first()
         kept = search.top_per_key(found.join(F.broadcast(self.workspace.spark.createDataFrame([(g["enclosing"],) for g in groups], "enclosing string")), "enclosing"), "enclosing", ["line_no"], GROUP_LINES) if groups else None
         by = {}
@@ -76,7 +83,10 @@ class Reader:
             by.setdefault(r["enclosing"], []).append(f"    {r['line_no']}: {_cut(r['line'])}")
         rows = [f"{total['n']} lines in {total['f']} files"]
         for g in groups:
-            rows += [f"  {g['enclosing']} ({g['hits']})", *by[g["enclosing"]]]
+            more = [f"    … {g['hits'] - GROUP_LINES} more"] if g["hits"] > GROUP_LINES else []
+            rows += [f"  {g['enclosing']} ({g['hits']}, {g['refs']} in-edges)", *by[g["enclosing"]], *more]
+        if n_groups > GROUPS:
+            rows.append(f"… {n_groups - GROUPS} more symbols not shown; narrow the pattern or the scope")
         return "\n".join(rows)
 
     def ask(self, question: str, limit: object = 8) -> str:
@@ -101,6 +111,15 @@ def _text(value: object) -> str:
     return value
 
 
+def _pattern(pattern: str, literal: bool) -> None:
+    """Refuses a pattern that no regular expression is, before a job starts."""
+    if not literal:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"not a pattern: {e}") from e
+
+
 def _count(value: object) -> int:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or value != int(value) or value < 1:
         raise ValueError("a positive whole number is needed")

@@ -10,6 +10,7 @@ from symgraph.render import Reader, open_reader
 
 #: Protocol versions that are spoken, the newest first, and error codes.
 VERSIONS = ("2025-06-18", "2025-03-26", "2024-11-05")
+NO_BATCHES = "2025-06-18"
 PARSE, INVALID, UNKNOWN, PARAMS = -32700, -32600, -32601, -32602
 
 _TEXT, _COUNT, _FLAG = {"type": "string"}, {"type": "integer", "minimum": 1}, {"type": "boolean"}
@@ -48,12 +49,14 @@ def _answer(reader: Reader, method: str, params: dict):
         if missing:
             raise ValueError(f"missing: {', '.join(missing)}")
         return {"content": [{"type": "text", "text": tool[3](reader, {k: v for k, v in given.items() if k in tool[1]})}], "isError": False}
-    except ValueError as e:
-        return {"content": [{"type": "text", "text": str(e)}], "isError": True}
+    except Exception as e:  # whatever a tool raises is its answer; the session goes on
+        return {"content": [{"type": "text", "text": str(e) or type(e).__name__}], "isError": True}
 
 
-def handle(reader: Reader, message: object) -> dict | list | None:
-    """The reply to a message or a batch; None to notifications."""
+def handle(reader: Reader, message: object, batches: bool = True) -> dict | list | None:
+    """The reply to a message or a batch; None to notifications. Protocols from NO_BATCHES on have none."""
+    if isinstance(message, list) and not batches:
+        return {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID, "message": "no batches in this protocol version"}}
     if isinstance(message, list):
         if not message:
             return {"jsonrpc": "2.0", "id": None, "error": {"code": INVALID, "message": "an empty batch"}}
@@ -70,12 +73,15 @@ def handle(reader: Reader, message: object) -> dict | list | None:
 
 
 def serve(root: str, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout) -> None:
-    reader = open_reader(root)
+    reader, version = open_reader(root), VERSIONS[-1]
     for line in source:
         if not line.strip():
             continue
         try:
-            reply = handle(reader, json.loads(line))
+            message = json.loads(line)
+            reply = handle(reader, message, version < NO_BATCHES)
+            if isinstance(message, dict) and message.get("method") == "initialize" and reply and "result" in reply:
+                version = reply["result"]["protocolVersion"]
         except ValueError:
             reply = {"jsonrpc": "2.0", "id": None, "error": {"code": PARSE, "message": "not JSON"}}
         if reply is not None:

@@ -31,13 +31,14 @@ _OWN: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local session that names none gets one of its own, a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="symgraph-")
-    return _OWN["dir"]
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="symgraph-")
+        _OWN["dir"] = root
+    return root.rstrip("/")
 
 
 def drop_staged(spark: SparkSession, path: str) -> None:

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.ignore import BUILT_IN, Rule, compile_rules, ignored, selected
 
-#: Language by file extension; project markers by language.
+#: Language by file extension; languages whose definitions can reach one another by bare name; project markers.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx",
-    ".rs": "rust", ".go": "go", ".java": "java", ".kt": "kotlin", ".scala": "scala", ".clj": "clojure", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".rb": "ruby", ".php": "php",
+    ".tsx": "tsx", ".jsx": "tsx", ".mts": "typescript", ".cts": "typescript", ".ts": "typescript", ".mjs": "typescript", ".cjs": "typescript", ".js": "typescript", ".pyi": "python", ".py": "python", ".go": "go", ".java": "java", ".kt": "kotlin", ".kts": "kotlin",
+    ".swift": "swift", ".php": "php", ".r": "r", ".rs": "rust", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hh": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".cs": "c_sharp",
 }
-MARKERS = ("package.json", "pyproject.toml", "setup.py", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "deps.edn", "composer.json")
+FAMILIES = (("typescript", "tsx"), ("java", "kotlin", "scala", "clojure"), ("c", "cpp"))
+MARKERS = ("package.json", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "Gemfile", "mix.exs")
 CONTAINER = r"(?i)^(dockerfile(\..*)?|(docker-)?compose\.ya?ml)$"
 
-FILES = "path string, content string, size long, mtime timestamp, file_ord int"
+#: Files that a task opens, about.
+FILES_A_TASK = 500
 
 
 def walk(root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
@@ -43,31 +47,52 @@ def walk(root: str, include: list[str] | None = None, exclude: list[str] | None
     return sorted(out)
 
 
-def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """FILES of a tree: listed where the session runs, read by the executors; files that aren't UTF-8 are left out.
+FOUND = "path string, content string, size long, mtime timestamp, file_ord int"
 
-    Only source files and container files are read. root is a path or URI that all executors can read.
+
+def _open(root: str):
+    """Listed files to FOUND; a file that can't be read, or isn't UTF-8, gives nothing."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, order in zip(frame["path"], frame["file_ord"], strict=True):
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        raw, at = f.read(), os.fstat(f.fileno()).st_mtime_ns
+                    rows.append((path, raw.decode("utf-8"), len(raw), pd.Timestamp(at // 1000, unit="us"), order))
+                except (OSError, UnicodeDecodeError):
+                    continue
+            out = pd.DataFrame(rows, columns=["path", "content", "size", "mtime", "file_ord"])
+            yield out.astype({"size": "int64", "file_ord": "int32", "mtime": "datetime64[us]"})
+
+    return run
+
+
+def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """FILES of a tree: listed where the session runs, opened by the executors; files that aren't UTF-8 are left out.
+
+    Only source files and container files are opened, whatever their names begin with. root is a folder that all
+    executors can read. known: (path) of files that needn't be opened.
     """
-    paths = [p for p in walk(root.removeprefix("file://"), include, exclude) if os.path.splitext(p)[1] in LANGUAGES or _container(p)]
-    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_ord int")
     base = root.removeprefix("file://").rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.length(F.lit(base)) + F.lit(2)
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    found = raw.select(F.substring(plain, at, F.length(plain)).alias("path"), F.try_validate_utf8("content").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(True).alias("read"))
-    # The reader leaves out empty files.
-    every = listed.join(found, "path", "left").withColumn("content", F.when(F.col("read").isNull(), "").otherwise(F.col("content")))
-    return every.filter("content IS NOT NULL").select("path", "content", F.coalesce("size", F.lit(0)).alias("size"), "mtime", "file_ord")
+    paths = [p for p in walk(base, include, exclude) if os.path.splitext(p)[1].lower() in LANGUAGES or _container(p)]
+    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_ord int")
+    if known is not None:
+        listed = listed.join(known.select("path"), "path", "left_anti")
+    parts = max(1, min(len(paths) // FILES_A_TASK + 1, 10_000))
+    return listed.repartition(parts, "path").mapInPandas(_open(base), FOUND)
 
 
 def _container(path: str) -> bool:
     return re.match(CONTAINER, os.path.basename(path)) is not None
 
 
-def language(path: str = "path"):
-    """Language of a path by its extension, null if none."""
+def family(path: str = "path"):
+    """The family of a path's language, null where the extension is unknown."""
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    return F.element_at(F.create_map(*(x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v)))), ext)
+    heads = {x: f[0] for f in FAMILIES for x in f}
+    return F.element_at(F.create_map(*(x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(heads.get(v, v))))), ext)
 
 
 def scopes(paths: DataFrame) -> DataFrame:

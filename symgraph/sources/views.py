@@ -60,7 +60,7 @@ def star_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse graph with cycles: source, target (part numbers)."""
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity <= 5")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.crossJoin(F.broadcast(n)).select(F.col("l_partkey").alias("source"), ((7 * F.col("l_partkey") + F.col("l_suppkey")) % F.col("n")).alias("target")).distinct()
 
 

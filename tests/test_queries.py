@@ -16,4 +16,4 @@ def test_query(spark, name):
     if name in ORACLES:
         assert difference(df, ORACLES[name], SF) == ""
     else:
-        assert df.count() >= 0 and df.columns
+        assert name == "slugify_ascii" and df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()  # test_whole_tables has it against brute force
