@@ -5,8 +5,8 @@ start dealt out evenly in hash order; in each round every group of equal texts a
 go where most of it is (a group larger than a shard: to as many shards as it needs), and
 a shard pair's requests are granted as far as as many documents come back: first
 requests the other way, then documents without a link, which are equally well anywhere.
-So every round keeps the sizes and cuts fewer links. Rounds go on until one cuts no fewer;
-cut_links() counts what is cut, and `trace` of shards() receives it before and after each round.
+So every round keeps the sizes and cuts fewer links. Rounds go on until PATIENCE of them, with ties and
+turns drawn anew in each, cut no fewer; cut_links() counts what is cut, and `trace` of shards() receives it before and after each round.
 
 State is (group, shard, n): no document moves until the end, and a group of any size is
 eight rows at most. What is collected are sums per shard, pair of shards and hash bucket.
@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from symgraph.llm.checked import join_skewed
 from symgraph.session import drop_staged, staged, staged_with_path
 
-SHARDS = 8
+SHARDS, PATIENCE = 8, 3
 #: Hash buckets in which running totals are taken, for each shard or pair of shards, at least; rows for each bucket beyond; buckets of a group.
 BUCKETS, BUCKET_ROWS, GROUP_BUCKETS = 256, 100_000, 64
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -55,9 +55,9 @@ def _running(rows: DataFrame, keys: list[str], order: list[str], weight: Column)
     return rows.join(at, [*keys, "_b"]).withColumn("before", F.col("_o") + F.coalesce(F.sum("_w").over(within), F.lit(0))).drop("_b", "_w", "_o")
 
 
-def _requests(cells: DataFrame, cap: int) -> DataFrame:
+def _requests(cells: DataFrame, cap: int, salt: int) -> DataFrame:
     """Cells of groups of two or more with the shard that each asks for (its own, where it stays)."""
-    by = W.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "shard"))
+    by = W.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "shard", F.lit(salt)))
     top = cells.withColumn("_r", F.row_number().over(by)).withColumn("total", F.sum("n").over(W.partitionBy("g")))
     top = top.withColumn("k", F.ceil(F.col("total") / F.lit(max(cap, 1))).cast("int"))
     tops = F.array_sort(F.collect_list(F.struct("_r", "shard")).over(W.partitionBy("g")))
@@ -79,12 +79,12 @@ def _grants(asked: dict[tuple[int, int], int], free: list[int]) -> tuple[dict[tu
     return granted, back
 
 
-def _round(cells: DataFrame, cap: int) -> DataFrame | None:
-    """The cells after one round; None if nothing moves."""
-    asks = staged(_requests(cells, cap), "asks")
+def _round(cells: DataFrame, cap: int, salt: int) -> DataFrame | None:
+    """The cells after one round; None if nothing moves. salt decides on ties, and on whose turn it is where not all requests are granted."""
+    asks = staged(_requests(cells, cap, salt).withColumn("turn", F.xxhash64("g", F.lit(salt))), "asks")
     moving = asks.filter("shard <> to")
     asked = {(r["shard"], r["to"]): r["n"] for r in moving.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
-    alone = asks.filter("total = 1").select("g", "shard")
+    alone = asks.filter("total = 1").select("g", "shard", "turn")
     free = [0] * SHARDS
     for r in alone.groupBy("shard").count().collect():
         free[r["shard"]] = r["count"]
@@ -93,7 +93,7 @@ def _round(cells: DataFrame, cap: int) -> DataFrame | None:
         return None
     spark = cells.sparkSession
     quota = F.broadcast(spark.createDataFrame([(s, t, n) for (s, t), n in granted.items()], "shard int, to int, quota long"))
-    moves = _running(moving, ["shard", "to"], ["g"], F.col("n")).join(quota, ["shard", "to"])
+    moves = _running(moving, ["shard", "to"], ["turn", "g"], F.col("n")).join(quota, ["shard", "to"])
     moves = moves.withColumn("x", F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("before")))).select("g", "shard", "to", "x")
     if back:
         ends = []
@@ -102,7 +102,7 @@ def _round(cells: DataFrame, cap: int) -> DataFrame | None:
             tos = list(accumulate(n for _, n in out))
             ends += [(t, s, to - n, to) for (s, n), to in zip(out, tos, strict=True)]
         ranges = F.broadcast(spark.createDataFrame(ends, "shard int, to int, lo long, hi long"))
-        swapped = _running(alone, ["shard"], ["g"], F.lit(1)).join(ranges, "shard").filter("before >= lo AND before < hi")
+        swapped = _running(alone, ["shard"], ["turn", "g"], F.lit(1)).join(ranges, "shard").filter("before >= lo AND before < hi")
         moves = moves.unionByName(swapped.select("g", "shard", "to", F.lit(1).cast("long").alias("x")))
     moves = moves.filter("x > 0")
     change = moves.select("g", "shard", (-F.col("x")).alias("n")).unionByName(moves.select("g", F.col("to").alias("shard"), F.col("x").alias("n")))
@@ -133,18 +133,19 @@ def shards(docs: DataFrame, trace: list[int] | None = None) -> DataFrame:
     rows = staged(dealt.withColumn("start", F.pmod("before", F.lit(SHARDS)).cast("int")).drop("_one", "before"), "dealt")
     cap = -(-rows.count() // SHARDS)
     cells, path = staged_with_path(rows.groupBy("g", F.col("start").alias("shard")).agg(F.count("*").alias("n")), "cells")
-    cut = cut_links(cells)
+    cut, stalled, salt = cut_links(cells), 0, 0
     trace = trace if trace is not None else []
     trace.append(cut)
-    while cut:
-        new = _round(cells, cap)
+    while cut and stalled < PATIENCE:
+        new = _round(cells, cap, salt)
         if new is None:
             break
         new, new_path = staged_with_path(new, "cells")
-        now = cut_links(new)
-        if now >= cut:
+        now, salt = cut_links(new), salt + 1
+        stalled = 0 if now < cut else stalled + 1
+        if now > cut:
             drop_staged(new.sparkSession, new_path)
-            break
+            continue
         drop_staged(cells.sparkSession, path)
         cells, path, cut = new, new_path, now
         trace.append(cut)
