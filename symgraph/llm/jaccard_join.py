@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 when the overlap is at least 0.8 of the union; what is returned is each document's set
 size and the least doc_id of its component.
 
-Tokens of a set are hashed into 256 groups, 1024 for a set of over 400, 4096 for one of
-over 1600 and so on, and the group counts are a point: the sum of the coordinates'
+Tokens of a set are hashed into 256 groups, 1024 for a set of over 1600, 4096 for one of
+over 6400 and so on, and the group counts are a point: the sum of the coordinates'
 minima bounds the overlap of two sets from above, and that of an R-tree's upper corners
 the overlap of all below. Trees are over 64 sums of groups; what survives is bounded again
 by all the groups that both sets have. Trees are built
@@ -19,7 +19,8 @@ A set is known by the 64-bit hash of its tokens.
 
 Hot groups: equal sets count as one; a token of many sets is dealt into blocks. The
 first rounds take one candidate of another component for each set, so a group of near
-copies becomes one component by as many pairs as it has members; the last round
+copies becomes one component by as many pairs as it has members; a token of one block
+in which no pair survives is done with in the first; the last round
 verifies every surviving pair of different components, across all blocks, so no link
 is lost.
 
@@ -52,7 +53,7 @@ SIZE, GROUPS, LEAST_GROUPS = 5, 64, 256
 #: Tokens up to which a point is a list of their groups, a byte each, in place of the counts.
 LISTED = 200
 #: Sets of more tokens than STEP have four times LEAST_GROUPS, of four times STEP sixteen times, and so on.
-STEP = 400
+STEP = 1600
 #: Links need PART * overlap >= WHOLE * union.
 PART, WHOLE = 100, 80
 #: Tokens held by more than 1 / HOT of all documents (64 at least) come last in the order; so many of them at most.
@@ -313,7 +314,7 @@ class CountTree:
 
 
 def _candidates(best: bool):
-    """Rows (token, block, side, id, component, n_shingles, point) sorted by block to pairs (a, b, worth) of sets of different components.
+    """Rows (token, block, side, id, component, n_shingles, point) sorted by block to pairs (a, b, worth) of sets of different components, with the token.
 
     best: one for each set in a block. side: 0 and 1 meet only each other, where a token's blocks are taken two by two.
     """
@@ -360,8 +361,8 @@ def _candidates(best: bool):
             at = np.flatnonzero(partner >= 0)
             yield ids[at], ids[partner[at]], top[at]
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """Columns of each block; one may go on in the next batch."""
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Token and columns of each block; one may go on in the next batch."""
         held: list[list[np.ndarray]] = []
         key = None
         for batch in batches:
@@ -372,20 +373,20 @@ def _candidates(best: bool):
             cut = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(token)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if held and key != (token[a], block[a]):
-                    yield held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+                    yield key[0], held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
                     held = []
                 key = (token[a], block[a])
                 held.append([c[a:b] for c in columns])
         if held:
-            yield held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield key[0], held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b", "worth"])
-        for columns in blocks(batches):
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b", "worth", "token"])
+        for token, columns in blocks(batches):
             for found in of_block(*columns):
-                held.append(found)
+                held.append((*found, np.full(len(found[0]), token)))
                 size += len(found[0])
                 if size > 20_000:
                     yield out()
@@ -410,7 +411,7 @@ def _blocks(rows: DataFrame, best: bool) -> DataFrame:
 
 def _join_in_trees(rows: DataFrame, best: bool) -> DataFrame:
     dealt = _blocks(rows, best).select("token", "block", "side", "id", "component", "n_shingles", "point")
-    return dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_candidates(best), "a long, b long, worth double")
+    return dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_candidates(best), "a long, b long, worth double, token long")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,15 +495,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("_n")).filter("lo < hi").select("token", "_n")
             now = join_skewed(now, staged(mixed, "mixed"), "token")
         pairs = _join_in_trees(now, best)
+        if found is None:
+            pairs, pairs_path = staged_with_path(pairs, "survivors")
+            live = pairs.select("token").unionByName(rows.filter(F.col("n_sets") > BLOCK).select("token")).distinct()
+            few, few_path = staged_with_path(join_small(rows, staged(live, "live"), "token", "left_semi"), "rows")
         if best:
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("worth", -F.col("b").cast("decimal(20,0)"))).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")  # what failed once fails again
-        pairs = staged(pairs, "pairs")
+        pairs = staged(pairs.select("a", "b"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = verify(pairs, docs, sets)
         links = links.unionByName(new)
+        if found is None:
+            for p in (rows_path, pairs_path):
+                drop_staged(spark, p)
+            rows, rows_path = few, few_path
         if best and (found is None or not new.isEmpty()):
             found = staged(components(links, "a", "b"), "components")
     drop_staged(spark, rows_path)
