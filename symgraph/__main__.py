@@ -1,10 +1,12 @@
-"""python -m symgraph COMMAND: build, check, map, skeleton, callers, grep, ask, serve."""
+"""python -m symgraph COMMAND: build, check, map, skeleton, callers, grep, ask, cards, export, serve."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from symgraph.plans import state
+from symgraph.plans.cards import file_cards, write_cards
 from symgraph.render import open_reader
 from symgraph.server import serve
 
@@ -28,17 +30,22 @@ def main(args: list[str] | None = None) -> int:
     a = sub.add_parser("ask")
     a.add_argument("question")
     a.add_argument("--limit", type=int, default=8)
+    a.add_argument("--source", action="store_true")
+    a.add_argument("--full", action="store_true")
+    a.add_argument("--scope")
+    for name in ("cards", "export"):
+        sub.add_parser(name).add_argument("out")
     o = p.parse_args(args)
     if o.command == "serve":
         serve(o.dir)
         return 0
-    r = open_reader(o.dir)
+    r = open_reader(o.dir if o.command == "build" else state.workspace_root(o.dir) or o.dir)
     try:
         if o.command == "build":
             print(", ".join(f"{k} {v}" for k, v in r.workspace.build().items()))
         elif o.command == "check":
-            print(state := r.check())
-            return int(state != "fresh")
+            print(found := r.check())
+            return int(not found.startswith("fresh"))
         elif o.command == "map":
             print(r.map())
         elif o.command == "skeleton":
@@ -47,9 +54,13 @@ def main(args: list[str] | None = None) -> int:
             print(r.callers(o.symbol, o.direction, o.depth))
         elif o.command == "grep":
             print(r.grep(o.pattern, o.literal, o.ignore_case, o.scope))
+        elif o.command == "cards":
+            print(", ".join(f"{k} {v}" for k, v in write_cards(file_cards(r.workspace.tables()[0]), o.out).items()))
+        elif o.command == "export":
+            state.write_json(*r.workspace.tables(), o.out)
         else:
-            print(r.ask(o.question, o.limit))
-    except ValueError as e:
+            print(r.ask(o.question, o.limit, o.source, o.full, o.scope))
+    except (ValueError, FileExistsError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

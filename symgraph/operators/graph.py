@@ -224,27 +224,40 @@ def diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFra
     return both.select(key, change.alias("change"), F.when(change == "changed", what).otherwise("").alias("what")).filter("change IS NOT NULL")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+#: Seeds that are broadcast at most.
+SEEDS_BROADCAST = 10_000
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """Personalised PageRank: id, rank. seeds: (id, weight); edges (source, target) count as often as they are there.
 
     Restarts and the mass of vertices without edges go to the seeds. One join and one aggregate a round on the
-    edges' key; each round is staged, so the plan doesn't grow.
+    edges' key; ranks are used once in a round, so the plan grows by a round at a time, and are staged every few.
     """
     total = seeds.agg(F.sum("weight").alias("t")).first()["t"]
     restart = staged(seeds.groupBy("id").agg((F.sum("weight") / F.lit(total)).alias("share")), "restart")
     degree = edges.groupBy("source").agg(F.count("*").alias("degree"))
     out = staged(edges.groupBy("source", "target").agg(F.count("*").alias("n")).join(degree, "source").select("source", "target", (F.col("n") / F.col("degree")).alias("part")), "out-edges")
-    rank, path = staged_with_path(restart.select("id", F.col("share").alias("rank")), "rank")
-    for _ in range(rounds):
-        flow = rank.join(out, rank["id"] == out["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("part")).alias("r"))
-        flow, flow_path = staged_with_path(flow, "flow")
-        # What doesn't flow on is lost at vertices without edges: all mass is 1.
-        lost = 1.0 - (flow.agg(F.sum("r")).first()[0] or 0.0)
-        back = restart.select("id", (F.col("share") * (1 - damping + damping * lost)).alias("r"))
-        new, new_path = staged_with_path(flow.select("id", (F.lit(damping) * F.col("r")).alias("r")).unionByName(back).groupBy("id").agg(F.sum("r").alias("rank")), "rank")
-        for p in (flow_path, path):
-            drop_staged(new.sparkSession, p)
-        rank, path = new, new_path
+    few = restart.limit(SEEDS_BROADCAST + 1).count() <= SEEDS_BROADCAST
+    seeds_at = restart.select(F.col("id").alias("seed"), "share", F.lit(1).alias("k"))
+    seeds_at = F.broadcast(seeds_at) if few else seeds_at
+    rank, path = restart.select("id", F.col("share").alias("rank")), None
+    for step in range(1, rounds + 1):
+        # What has no edge on goes to the target null, and from there to the seeds.
+        flow = rank.join(out, rank["id"] == out["source"], "left").groupBy(F.col("target").alias("to")).agg(F.sum(F.col("rank") * F.coalesce("part", F.lit(1.0))).alias("r"))
+        on = flow.withColumn("k", F.when(F.col("to").isNull(), 1))
+        if few:
+            moved = on.join(seeds_at, "k", "left").select(F.coalesce("seed", "to").alias("id"), (F.lit(damping) * F.col("r") * F.coalesce("share", F.lit(1.0))).alias("r"))
+        else:
+            lost = on.filter("k = 1").join(seeds_at, "k").select(F.col("seed").alias("id"), (F.lit(damping) * F.col("r") * F.col("share")).alias("r"))
+            moved = on.filter("k IS NULL").select(F.col("to").alias("id"), (F.lit(damping) * F.col("r")).alias("r")).unionByName(lost)
+        back = restart.select("id", (F.col("share") * F.lit(1 - damping)).alias("r"))
+        rank = moved.unionByName(back).groupBy("id").agg(F.sum("r").alias("rank"))
+        if step % every == 0 or not few:
+            rank, new_path = staged_with_path(rank, "rank")
+            if path:
+                drop_staged(rank.sparkSession, path)
+            path = new_path
     return rank
 
 

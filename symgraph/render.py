@@ -15,11 +15,44 @@ from symgraph.session import local_session, staged
 
 LINE, GROUP_LINES, GROUPS, CALLERS = 160, 8, 60, 400
 
+#: Lines of an excerpt, of a full one, hits that get those, characters of a signature, hits that are few; questions for callers and calls.
+SOME_LINES, FULL_LINES, FULL_HITS, SIGNATURE, FEW = 8, 80, 2, 200, 3
+STRUCTURAL = (
+    (r"\b(?:who|what)\s+calls\s+`?([\w.#/~-]+)", "in"),
+    (r"\bcallers?\s+of\s+`?([\w.#/~-]+)", "in"),
+    (r"\bwhat\s+uses\s+`?([\w.#/~-]+)", "in"),
+    (r"\bwhat\s+does\s+`?([\w.#/~-]+)`?\s+call", "out"),
+    (r"\bcallees?\s+of\s+`?([\w.#/~-]+)", "out"),
+)
+
 
 def _span(r) -> str:
     return f"{r['path']}:L{r['start_line']}-L{r['end_line']}"
 
 
+def _signature(signature: str) -> str:
+    flat = " ".join(signature.split())
+    return flat if len(flat) <= SIGNATURE else flat[: SIGNATURE - 1] + "…"
+
+
+def _excerpt(r, lines: list[str], limit: int) -> list[str]:
+    """A hit's first lines, numbered, and how many more there are."""
+    own = lines[r["start_line"] - 1 : r["end_line"]]
+    width = len(str(r["start_line"] + min(len(own), limit)))
+    rows = [f"     {r['start_line'] + i:>{width}}  {x}" for i, x in enumerate(own[:limit])]
+    return rows + ([f"     … +{len(own) - limit} more lines (L{r['start_line'] + limit}-L{r['end_line']})"] if len(own) > limit else [])
+
+
+def _next_step(ranked: list) -> str:
+    """What to ask next, more firmly where few definitions match at all."""
+    path, symbol = (ranked[0]["path"], ranked[0]["id"]) if ranked else ("<file>", "<symbol>")
+    tools = f"grep for every occurrence · skeleton {path} for a file's definitions · callers {symbol} --direction out for what it calls"
+    if len(ranked) <= FEW:
+        found = f"only {len(ranked)} hit{'s' * (len(ranked) != 1)}" if ranked else "no hits"
+        return f"{found}; other words won't help, use another tool: {tools}"
+    return f"not here? use another tool: {tools}"
+
+
 def _cut(line: str) -> str:
     line = line.strip()
     return line if len(line) <= LINE else line[: LINE - 1] + "…"
@@ -89,20 +122,49 @@ class Reader:
             rows.append(f"… {n_groups - GROUPS} more symbols not shown; narrow the pattern or the scope")
         return "\n".join(rows)
 
-    def ask(self, question: str, limit: object = 8) -> str:
+    def ask(self, question: str, limit: object = 8, source: bool = False, full: bool = False, scope: str | None = None) -> str:
+        """Ranked definitions; a question for callers or calls of a known symbol is answered by these."""
         count = _count(limit)
+        for pattern, direction in STRUCTURAL:
+            if found := re.search(pattern, _text(question), re.I):
+                answer = self.callers(found.group(1).strip("`'\"?.,"), direction)
+                if not answer.startswith("no symbol"):
+                    return answer
         nodes, edges = self.workspace.tables()
-        one = self.workspace.spark.createDataFrame([(_text(question),)], "q string")
+        if scope:
+            nodes = nodes.filter(F.col("path").startswith(scope.replace("\\", "/").strip("/") + "/"))
+        one = self.workspace.spark.createDataFrame([(question,)], "q string")
         words = one.select(text.terms("q").alias("t")).first()["t"]
         if not words:
             return "nothing to look for"
         docs = nodes.select("id", "name", F.regexp_replace(F.substring_index("id", "#", -1), "~[0-9]+$", "").alias("qualified"), "signature", F.concat_ws(" ", "summary", "body").alias("body"), "path", "kind")
-        hits = search.ask(docs, edges, words, question, count)
-        rows = hits.join(nodes.select("id", "kind", "path", "start_line", "end_line", "signature"), "id").orderBy(F.desc("score"), "id").collect()
-        return "\n".join(f"{i}. {r['id']} · {r['kind']} · {_span(r)} · {r['score']:.2f}\n   {(r['signature'] or '')[:200]}" for i, r in enumerate(rows, 1)) or "nothing found"
+        hits = search.ask(docs, edges, words, question, search.SHORTLIST)
+        ranked = hits.join(nodes.select("id", "kind", "path", "start_line", "end_line", "signature"), "id").orderBy(F.desc("score"), "id").collect()  # SHORTLIST rows at most
+        shown = ranked[:count]
+        lines = self._lines({r["path"] for r in shown}) if shown and (source or full) else {}
+        rows = []
+        for i, r in enumerate(shown, 1):
+            rows.append(f"{i}. {r['id']} · {r['kind']} · {_span(r)} · {r['score']:.2f}")
+            if r["signature"]:
+                rows.append("   " + _signature(r["signature"]))
+            if source or full:
+                rows += _excerpt(r, lines.get(r["path"], []), FULL_LINES if full and i <= FULL_HITS else SOME_LINES)
+        return "\n".join([*(rows or ["nothing found"]), _next_step(ranked)])
+
+    def _lines(self, paths: set[str]) -> dict[str, list[str]]:
+        """Lines of the files of a few hits."""
+        own = self.workspace.files().filter(F.col("path").isin(*paths)).select("path", "content").collect()
+        return {r["path"]: r["content"].splitlines() for r in own}
 
     def check(self) -> str:
-        return self.workspace.check()
+        found = self.workspace.check()
+        if found != "fresh":
+            return found
+        rows = [found]
+        for r in self.workspace.meaning().orderBy("state").collect():
+            more = f", … +{r['n'] - len(r['sample'])} more" if r["n"] > len(r["sample"]) else ""
+            rows.append(f"{r['n']} {r['state']}: {', '.join(r['sample'])}{more}")
+        return "\n".join(rows)
 
 
 def _text(value: object) -> str:
@@ -134,7 +196,3 @@ def _depth(value: object) -> int | None:
 
 def open_reader(root: str) -> Reader:
     return Reader(Workspace(local_session(os.environ.get("SYMGRAPH_CPUS", "*")), root))
-
-
-def show(df: DataFrame, limit: int = 50) -> str:
-    return "\n".join(" | ".join(str(v) for v in r) for r in df.limit(limit).collect())

@@ -15,7 +15,7 @@ PARSE, INVALID, UNKNOWN, PARAMS = -32700, -32600, -32601, -32602
 
 _TEXT, _COUNT, _FLAG = {"type": "string"}, {"type": "integer", "minimum": 1}, {"type": "boolean"}
 TOOLS = {
-    "find_code": ("Best definitions for a question.", {"question": _TEXT, "limit": _COUNT}, ["question"], lambda r, a: r.ask(a["question"], a.get("limit", 5))),
+    "find_code": ("Best definitions for a question.", {"question": _TEXT, "limit": _COUNT, "source": _FLAG, "full": _FLAG, "in": _TEXT}, ["question"], lambda r, a: r.ask(a["question"], a.get("limit", 5), a.get("source", True), a.get("full", False), a.get("in"))),
     "find_all": ("All lines that match a pattern, by definition.", {"pattern": _TEXT, "literal": _FLAG, "ignore_case": _FLAG, "scope": _TEXT}, ["pattern"], lambda r, a: r.grep(a["pattern"], a.get("literal", False), a.get("ignore_case", False), a.get("scope"))),
     "trace_calls": ("What calls a symbol, or what it calls.", {"symbol": _TEXT, "direction": _TEXT, "depth": {}}, ["symbol"], lambda r, a: r.callers(a["symbol"], a.get("direction", "in"), a.get("depth", 1))),
     "file_outline": ("The definitions of a file.", {"path": _TEXT}, ["path"], lambda r, a: r.skeleton(a["path"])),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,27 +61,40 @@ def _open(root: str):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
                         raw, at = f.read(), os.fstat(f.fileno()).st_mtime_ns
-                    rows.append((path, raw.decode("utf-8"), len(raw), pd.Timestamp(at // 1000, unit="us"), order))
+                    rows.append((path, raw.decode("utf-8"), len(raw), pd.Timestamp(at // 1000, unit="us", tz="UTC"), order))
                 except (OSError, UnicodeDecodeError):
                     continue
             out = pd.DataFrame(rows, columns=["path", "content", "size", "mtime", "file_ord"])
-            yield out.astype({"size": "int64", "file_ord": "int32", "mtime": "datetime64[us]"})
+            yield out.astype({"size": "int64", "file_ord": "int32", "mtime": "datetime64[us, UTC]"})
 
     return run
 
 
-def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+LISTED = "path string, file_ord int, size long, mtime timestamp"
+
+
+def listing(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """LISTED: the source and container files of a tree with their size and time; nothing is opened."""
+    base, rows = root.removeprefix("file://").rstrip("/"), []
+    for p in walk(base, include, exclude):
+        if os.path.splitext(p)[1].lower() in LANGUAGES or _container(p):
+            try:
+                stat = os.stat(os.path.join(base, p))
+            except OSError:
+                continue
+            rows.append((p, len(rows), stat.st_size, datetime.fromtimestamp(stat.st_mtime_ns // 1000 / 1e6, UTC)))
+    return spark.createDataFrame(rows, LISTED)
+
+
+def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
     """FILES of a tree: listed where the session runs, opened by the executors; files that aren't UTF-8 are left out.
 
     Only source files and container files are opened, whatever their names begin with. root is a folder that all
-    executors can read. known: (path) of files that needn't be opened.
+    executors can read. listed: the files to open (path, file_ord), where that is known.
     """
     base = root.removeprefix("file://").rstrip("/")
-    paths = [p for p in walk(base, include, exclude) if os.path.splitext(p)[1].lower() in LANGUAGES or _container(p)]
-    listed = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_ord int")
-    if known is not None:
-        listed = listed.join(known.select("path"), "path", "left_anti")
-    parts = max(1, min(len(paths) // FILES_A_TASK + 1, 10_000))
+    listed = (listed if listed is not None else listing(spark, root, include, exclude)).select("path", "file_ord")
+    parts = max(1, min(listed.count() // FILES_A_TASK + 1, 10_000))
     return listed.repartition(parts, "path").mapInPandas(_open(base), FOUND)
 
 

@@ -28,10 +28,43 @@ def test_build_and_ask(spark, tree):
     edges = {(r["source"], r["target"]) for r in w._table("edges").filter("relation = 'calls'").collect()}
     assert edges == {("a/one.py#store", "a/one.py#load"), ("a/two.py#run", "a/one.py#load"), ("a/two.py#run", "a/one.py#store")}
     r = Reader(w)
-    assert "a/two.py#run calls" in r.callers("load")
+    assert "a/two.py#run calls" in r.callers("load") and r.check().startswith("fresh")
     assert r.grep("load(", literal=True).splitlines()[0] == "3 lines in 2 files"
     call = lambda name, **a: handle(r, {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}})
     assert "def store(path)" in call("file_outline", path="a/one.py")["result"]["content"][0]["text"]
     assert call("trace_calls")["result"]["isError"] and call("nothing")["error"]["code"] == -32602
     assert handle(r, {"jsonrpc": "2.0", "method": "x"}) is None and handle(r, [])["error"]["code"] == -32600
     assert handle(r, {"jsonrpc": "2.0", "id": 2, "method": "nope"})["error"]["code"] == -32601
+
+
+def test_answers_and_reuse(spark, tree, monkeypatch):
+    import os
+    import threading
+
+    from symgraph.sources import files as sources
+
+    w = Workspace(spark, str(tree))
+    w.build()
+    r = Reader(w)
+    assert "a/two.py#run calls" in r.ask("who calls load?") and "a/one.py#load calls" in r.ask("what does store call")
+    answer = r.ask("where is the path stored", source=True)
+    assert "a/one.py#store" in answer and "5  def store(path):" in answer and answer.splitlines()[-1].startswith(("not here?", "only "))
+    assert "no hits; other words won't help" in r.ask("zebra quagga")
+    assert r.ask("stored path", scope="nowhere").startswith("nothing found")
+    assert r.check().splitlines()[0] == "fresh" and "pending" in r.check()
+    # Old files aren't opened again.
+    for name in ("a/one.py", "a/two.py"):
+        os.utime(tree / name, (1_000_000_000, 1_000_000_000))
+    w.build(force=True)
+    opened = []
+    plain = sources.read_tree
+    monkeypatch.setattr(sources, "read_tree", lambda *a, listed=None, **k: opened.append(sorted(x["path"] for x in listed.collect())) or plain(*a, listed=listed, **k))
+    (tree / "a/three.py").write_text("def third():\n    return 3\n")
+    assert (w.build()["misses"], opened) == (1, [["a/three.py"]])
+    # Of two writers one builds.
+    (tree / "a/three.py").write_text("def third():\n    return 4\n")
+    done = []
+    threads = [threading.Thread(target=lambda: done.append(Workspace(spark, str(tree)).build()["changed"])) for _ in range(2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(done) == [False, True]
