@@ -37,34 +37,14 @@ def test_build_and_ask(spark, tree):
     assert handle(r, {"jsonrpc": "2.0", "id": 2, "method": "nope"})["error"]["code"] == -32601
 
 
-def test_answers_and_reuse(spark, tree, monkeypatch):
-    import os
-    import threading
+def test_parts_of_answers():
+    import re
 
-    from symgraph.sources import files as sources
+    from symgraph.render import STRUCTURAL, _excerpt, _next_step, _signature
 
-    w = Workspace(spark, str(tree))
-    w.build()
-    r = Reader(w)
-    assert "a/two.py#run calls" in r.ask("who calls load?") and "a/one.py#load calls" in r.ask("what does store call")
-    answer = r.ask("where is the path stored", source=True)
-    assert "a/one.py#store" in answer and "5  def store(path):" in answer and answer.splitlines()[-1].startswith(("not here?", "only "))
-    assert "no hits; other words won't help" in r.ask("zebra quagga")
-    assert r.ask("stored path", scope="nowhere").startswith("nothing found")
-    assert r.check().splitlines()[0] == "fresh" and "pending" in r.check()
-    # Old files aren't opened again.
-    for name in ("a/one.py", "a/two.py"):
-        os.utime(tree / name, (1_000_000_000, 1_000_000_000))
-    w.build(force=True)
-    opened = []
-    plain = sources.read_tree
-    monkeypatch.setattr(sources, "read_tree", lambda *a, listed=None, **k: opened.append(sorted(x["path"] for x in listed.collect())) or plain(*a, listed=listed, **k))
-    (tree / "a/three.py").write_text("def third():\n    return 3\n")
-    assert (w.build()["misses"], opened) == (1, [["a/three.py"]])
-    # Of two writers one builds.
-    (tree / "a/three.py").write_text("def third():\n    return 4\n")
-    done = []
-    threads = [threading.Thread(target=lambda: done.append(Workspace(spark, str(tree)).build()["changed"])) for _ in range(2)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert sorted(done) == [False, True]
+    asked = lambda q: next(((m.group(1), d) for p, d in STRUCTURAL if (m := re.search(p, q, re.I))), None)
+    assert asked("Who calls `a.load`?") == ("a.load", "in") and asked("what does store call") == ("store", "out") and asked("where is it") is None
+    hit = {"id": "a.py#f", "path": "a.py", "start_line": 9, "end_line": 20}
+    lines = [f"line {i}" for i in range(1, 30)]
+    assert _excerpt(hit, lines, 8)[0] == "      9  line 9" and _excerpt(hit, lines, 8)[-1] == "     … +4 more lines (L17-L20)" and len(_excerpt(hit, lines, 80)) == 12
+    assert len(_signature("x " * 300)) == 200 and _next_step([]).startswith("no hits") and _next_step([hit]).startswith("only 1 hit;") and _next_step([hit] * 4).startswith("not here?")
