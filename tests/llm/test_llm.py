@@ -265,6 +265,24 @@ def test_line_dedup_recall(spark):
     assert not gone & different and not {i for i in gone if i >= len(texts)}
 
 
+def test_line_dedup_deals_pairs_out_by_their_characters(spark, monkeypatch):
+    """Pairs of small bytes and many shingles go to as many tasks as their counts need; what is similar stays the same."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(60)]
+    texts += [t[:380] + "z" * 20 for t in texts[:30]] + ["y" * 200 + t[200:] for t in texts[30:]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    pairs = spark.createDataFrame([(i, i + 60) for i in range(60)], "u long, v long")
+    monkeypatch.setattr(line_dedup, "VERIFIED", 2000, raising=False)
+    spark.sparkContext.setJobGroup("verified", "")
+    got = {tuple(r) for r in line_dedup.verified(pairs, lines).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("verified") for s in tracker.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) >= 60 * 800 // 2000
+    x = {i: shingles_of(t) for i, t in enumerate(texts)}
+    assert got == {(i, i + 60) for i in range(60) if 100 * len(x[i] & x[i + 60]) >= 80 * len(x[i] | x[i + 60])} and len(got) == 30
+
+
 def test_line_dedup_of_a_large_band(spark):
     """Thousands of lines in one band, of which few are similar."""
     rng = random.Random(9)
