@@ -457,6 +457,44 @@ def test_model_counts_all_pairs_and_grows(spark, monkeypatch):
     assert np.allclose(m.weights["last"], want, atol=1e-4)
 
 
+def test_weights_are_trained_on_all_windows(spark, monkeypatch):
+    """Each subword of each training document is a target of some step, in both blocks, long texts and many documents alike."""
+    import numpy as np
+
+    rng, seen = random.Random(9), []
+    texts = [" ".join(rng.choice(["red", "blue", "green"]) for _ in range(rng.choice([0, 3, 63, 64, 300]))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, value in (("SAMPLE_DOCS", 4), ("SAMPLE_WINDOWS", 1), ("DOCS_PER_BLOCK", 20), ("STEPS", 2), ("BATCH", 1)):
+        monkeypatch.setattr(lm_scoring, name, value, raising=False)
+    plain = lm_scoring._gradient
+    monkeypatch.setattr(lm_scoring, "_gradient", lambda w, rows, target, real: seen.append(target[real]) or plain(w, rows, target, real))
+    ranks = lm_scoring.default_ranks()
+    m = lm_scoring.learn(docs, ranks)
+    want = np.concatenate([m.cls[x] for x in lm_scoring.subwords([t.encode() for t in texts], ranks)])
+    got = np.bincount(np.concatenate(seen), minlength=m.cls.max() + 1)
+    assert len(seen) == 4 and (got >= np.bincount(want, minlength=m.cls.max() + 1)).all() and got.sum() < want.size + 2 * lm_scoring.WINDOW * 2
+
+
+def test_gradient_equals_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 40, 65) for _ in range(5)]
+    m = lm_scoring.build(np.bincount(np.concatenate(ids), minlength=lm_scoring.VOCABULARY), ids)
+    w = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    rows, target = (np.stack([f[x[k]] for x in ids]) for f, k in ((m.row, slice(None, -1)), (m.cls, slice(1, None))))
+    real = rng.random(rows.shape) < 0.8
+    g = lm_scoring._gradient(w, rows, target, real)[1]
+    for name in ("in", "pos", "q", "k", "v", "mix", "mix_b", "out", "bias"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        loss = []
+        for step in (1e-4, -1e-4):
+            other = {k: v.copy() for k, v in w.items()}
+            other[name][at] += step
+            loss.append(lm_scoring._gradient(other, rows, target, real)[0])
+        assert np.isclose((loss[0] - loss[1]) / 2e-4, g[name][at], rtol=1e-3, atol=1e-6), name
+
+
 # 6
 
 
