@@ -12,7 +12,8 @@ by all the groups that both sets have. Trees are built
 for sets that share one of their least tokens, which linked sets always do (of n tokens,
 the first n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in
 it). Chunks send these tokens to buckets in packed blobs, and only tokens that two
-different sets hold become rows. Surviving pairs are verified on the shingles of their
+different sets hold become rows, without sets that are too far in size from all others of
+a token. Surviving pairs are verified on the shingles of their
 texts, which are read again for the sets in question alone.
 
 A set is known by the 64-bit hash of its tokens.
@@ -40,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.llm import buckets
@@ -464,6 +465,16 @@ def _least(node: DataFrame, found: DataFrame) -> DataFrame:
     return join_skewed(own, staged(least, "least"), "component").select("id", "component", "m")
 
 
+def _near_in_size(rows: DataFrame) -> DataFrame:
+    """Rows (token, id, n_sets, n_shingles) without the sets that no other set of their token is near enough in size to link with, so that their points don't travel; tokens of over BLOCK sets stay whole."""
+    by_size = Window.partitionBy("token").orderBy("n_shingles")
+    n, less, more = F.col("n_shingles"), F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
+    # The next in size is the nearest, so if it is too far all are.
+    near = F.coalesce(F.lit(PART) * less >= F.lit(WHOLE) * n, F.lit(False)) | F.coalesce(F.lit(PART) * n >= F.lit(WHOLE) * more, F.lit(False))
+    few = rows.filter(F.col("n_sets") <= BLOCK).withColumn("_near", near).filter("_near").drop("_near")
+    return few.unionByName(rows.filter(F.col("n_sets") > BLOCK))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every document (doc_id, th, n_shingles, id: its set's), the sets (id, node: the least doc_id with it, n) and the links (a, b) between sets, enough of them for the components."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
@@ -482,9 +493,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     drop_staged(spark, made_path)
     # Tokens with the same sets would give the same pairs: one of them stays.
     single = shared.filter("members IS NOT NULL").groupBy("members").agg(F.min("token").alias("token")).select("token")
-    rows = shared.drop("members").join(single, "token", "left_semi").join(sets.select("id", "n_shingles", "point"), "id")
-    rows, rows_path = staged_with_path(rows, "rows")
+    sized, sized_path = staged_with_path(shared.drop("members").join(single, "token", "left_semi").join(sets.select("id", "n_shingles"), "id"), "sized")
+    rows, rows_path = staged_with_path(_near_in_size(sized).join(sets.select("id", "point"), "id"), "rows")
     drop_staged(spark, shared_path)
+    drop_staged(spark, sized_path)
     links = spark.createDataFrame([], "a long, b long")
     found, tried = None, None
     for best in [True] * ROUNDS + [False]:

@@ -639,6 +639,20 @@ def test_jaccard_join_ties_all_texts_of_a_doc_id(spark):
     assert kept == sorted([(1, a), (5, b), (5, c), (8, d), (9, ""), (5, "")])
 
 
+def test_jaccard_join_leaves_out_sets_far_in_size(spark, monkeypatch):
+    """Short texts out of long ones share tokens with them, but never come to the trees; those near in size do, and link."""
+    long = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(6)]
+    short = [" ".join(t.split()[k : k + 5]) for t in long for k in range(0, 196, 4)]
+    near = [long[0] + " more", " ".join(long[1].split()[30:])]
+    docs = spark.createDataFrame(list(enumerate(long + short + near)), "doc_id long, text string")
+    seen, plain = [], jaccard_join._join_in_trees
+    monkeypatch.setattr(jaccard_join, "_join_in_trees", lambda rows, best: seen.append({r["n_shingles"] for r in rows.select("n_shingles").collect()}) or plain(rows, best))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs).collect()}
+    assert seen[0] == {196, 197, 166}
+    last = len(long + short)
+    assert got == {i: {last: 0, last + 1: 1}.get(i, i) for i in range(last + 2)}
+
+
 def test_jaccard_join_of_a_frequent_token_and_long_sets(spark, monkeypatch):
     """Thousands of unlike sets share a token; sets of all sizes, some of thousands of tokens, link as by brute force."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
