@@ -32,9 +32,11 @@ BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of an executor's memory of composed parts before it starts anew, and characters of a part that it keeps.
-MEMORY, KEPT_PART = 400_000, 64
+#: Entries of each half of a worker's memory of composed parts; pairs of pieces that it keeps; characters of a part that it keeps.
+MEMORY, PAIRS, KEPT_PART = 100_000, 400_000, 64
 FAR = float("inf")
+#: A character that is no piece.
+_ONE_BYTE = ((1, -2),)
 
 
 def default_model() -> bytes:
@@ -110,6 +112,7 @@ class Transducer:
             elif m.types[i] in (UNKNOWN, CONTROL):
                 self.text[i] = b" \xe2\x81\x87 " if m.types[i] == UNKNOWN else b""
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, float] = {}
         self.rank = [-s for s in m.scores]
         self.left: dict[int, list[tuple[int, float, float]]] = {}
@@ -124,6 +127,9 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
+        self.longest = max(map(len, self.ids), default=0)
+        if m.kind == BPE:
+            self._gather()
         self.worst = max((r for i, r in enumerate(self.rank) if m.types[i] == NORMAL), default=0.0) + 10
 
     def _merges(self) -> None:
@@ -150,6 +156,16 @@ class Transducer:
                     self.left[i] = [(i, r, FAR)] + [(x, own, r if x == a and n == 0 else up) for n, (x, own, up) in enumerate(self.left.get(a, []))]
                     break
 
+    def _gather(self) -> None:
+        """In place of its own piece each state of the lexicon gets (length, piece) of all pieces on the way to it, the longest last."""
+        open_ = [(self.trie, 0, ())]
+        while open_:
+            node, depth, fits = open_.pop()
+            if "" in node:
+                fits = (*fits, (depth, node[""]))
+            open_ += [(below, depth + 1, fits) for c, below in node.items() if c]
+            node[""] = fits
+
     def _made(self, i: int) -> float:
         return self.right[i][0][1]
 
@@ -197,12 +213,56 @@ class Transducer:
         key = last * len(self.model.pieces) + piece
         weight = self.pairs.get(key)
         if weight is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             weight = self.pairs[key] = 0.0 if self.apart(last, piece) else FAR
         return weight
 
+    def _finite(self, part: str) -> list[int]:
+        """The one path of finite weight of a BPE model's composition with a part: the longest piece first, back from dead ends, each of which is met once."""
+        n, root, pairs, size, arc, longest = len(part), self.trie, self.pairs, len(self.model.pieces), self.arc, self.longest
+        path, ends, rest, i, last, dead = [], [0], [], 0, -1, bytearray(n + 1)
+        fits, k = None, 0  # pieces from i on, of which the first k weren't tried yet
+        while i < n:
+            if fits is None:
+                node = root
+                for c in part[i : i + longest]:
+                    if (below := node.get(c)) is None:
+                        break
+                    node = below
+                fits = node[""] or _ONE_BYTE
+                k = len(fits)
+            before = last * size
+            while k:
+                k -= 1
+                length, t = fits[k]
+                j = i + length
+                if dead[j]:
+                    continue
+                if last >= 0 and t >= 0:
+                    weight = pairs.get(before + t)
+                    if (arc(last, t) if weight is None else weight) == FAR:
+                        continue
+                path.append(t)
+                rest.append((fits, k))
+                ends.append(j)
+                i, last, fits = j, t, None
+                break
+            else:
+                dead[i] = 1
+                fits, k = rest.pop()
+                path.pop()
+                ends.pop()
+                i, last = ends[-1], path[-1] if path else -1
+        if -2 in path:
+            return list(chain.from_iterable(self._bytes(part[a:b]) if t == -2 else [t] for t, a, b in zip(path, ends, ends[1:], strict=False)))
+        return path
+
     def _path(self, part: str) -> list[int]:
         """Shortest path of the composition with a part, position by position."""
-        n, arc, trie, fallback = len(part), self.arc, self.trie, self.worst if self.model.kind == UNIGRAM else 0.0
+        if self.model.kind == BPE:
+            return self._finite(part)
+        n, arc, trie, fallback = len(part), self.arc, self.trie, self.worst
         far, last, begun = [0.0] + [FAR] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             here, before, node, j, single = far[i], last[i], trie, i, False
@@ -251,15 +311,16 @@ class Transducer:
         parts, seen = self.parts(self.normal(text)), self.seen
         found = list(map(seen.get, parts))
         if None in found:
-            if len(seen) > MEMORY:
-                seen.clear()
-            if len(self.pairs) > 4 * MEMORY:
-                self.pairs.clear()
+            older, part = self.older, self.part
             for k, x in enumerate(found):
                 if x is None:
-                    ids = found[k] = seen.get(parts[k]) or self.part(parts[k])
-                    if len(parts[k]) <= KEPT_PART:
-                        seen[parts[k]] = ids
+                    own = parts[k]
+                    ids = found[k] = seen.get(own) or older.get(own) or part(own)
+                    if len(own) <= KEPT_PART:
+                        if len(seen) >= MEMORY:  # what is still in use comes back out of the older half
+                            self.older = older = seen
+                            self.seen = seen = {}
+                        seen[own] = ids
         return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:

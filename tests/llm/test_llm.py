@@ -82,6 +82,18 @@ def test_pieces_of_random_texts():
         assert t.decode(t.encode(s)) == s.replace("▁", " ")
 
 
+def test_memory_of_parts_is_bounded_within_a_text(monkeypatch):
+    """Parts and pairs that are dropped are made again, with equal results."""
+    words_ = [f"{a}{b}{c}" for a in "abcdefgh" for b in "stuvwxyz" for c in ("ing", "tion", "zq", "0", "é")]
+    text = " ".join(words_ + words_[::3])
+    want = piece_fst.Transducer(piece_fst.default_model()).encode(text)
+    for name in ("MEMORY", "PAIRS"):
+        monkeypatch.setattr(piece_fst, name, 50, raising=False)
+    t = piece_fst.Transducer(piece_fst.default_model())
+    assert t.encode(text) == want
+    assert len(t.seen) <= 50 and len(t.older) <= 50 and len(t.pairs) <= 50
+
+
 def _message(*fields):
     """A protocol-buffer message of (number, value): texts, messages, floats, whole numbers."""
     import struct
