@@ -487,6 +487,40 @@ def test_weights_are_trained_on_all_windows(spark, monkeypatch):
     assert len(seen) == 4 and (got >= np.bincount(want, minlength=m.cls.max() + 1)).all() and got.sum() < want.size + 2 * lm_scoring.WINDOW * 2
 
 
+def test_driver_holds_ids_of_one_block_at_a_time(spark, monkeypatch):
+    """Training takes about two bytes a subword of one block in the driver, however many blocks there are, and no window twice."""
+    import gc
+    import weakref
+
+    import numpy as np
+
+    live, most, seen = weakref.WeakSet(), [], []
+    plain = lm_scoring.block_of
+
+    class Held(lm_scoring.Block):
+        __hash__ = object.__hash__
+
+    def made(texts, end):
+        gc.collect()
+        most.append(len(live))
+        b = plain(texts, end)
+        b = Held(b.ids, b.begin, b.length)
+        live.add(b)
+        seen.append((b.ids.nbytes, int((b.length - 1).sum())))
+        return b
+
+    monkeypatch.setattr(lm_scoring, "block_of", made)
+    for name, value in (("SUBWORDS_PER_BLOCK", 4000), ("STEPS", 2)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["red", "blue", "green"]) for _ in range(200)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    lm_scoring.learn(docs, lm_scoring.default_ranks())
+    total = sum(len(x) for x in lm_scoring.subwords([t.encode() for t in texts], lm_scoring.default_ranks()))
+    assert len(seen) == -(-total // 4000) > 3 and max(most) == 0  # long documents make more blocks
+    assert sum(n for _, n in seen) == total and all(size < 2.1 * n + 100 for size, n in seen)
+
+
 def test_gradient_equals_differences():
     import numpy as np
 
