@@ -13,7 +13,9 @@ for sets that share one of their least tokens, which linked sets always do (of n
 the first n - ceil(0.8 n) + 1 in one global order; very frequent tokens come last in
 it). Chunks send these tokens to buckets in packed blobs, and only tokens that two
 different sets hold become rows, without sets that are too far in size from all others of
-a token. Surviving pairs are verified on the shingles of their
+a token. The least common token of two linked sets is among the first n - ceil(8/9 n) + 1 of
+the smaller one, so a token that is early in this sense in no set is left out, and so is a set
+that has no partner for which this holds. Surviving pairs are verified on the shingles of their
 texts, which are read again for the sets in question alone.
 
 A set is known by the 64-bit hash of its tokens.
@@ -66,7 +68,7 @@ TOKENS = 1
 #: Bytes of packed texts that are verified at once.
 VERIFIED = 1 << 20
 SETS = "doc_id long, th long, n_shingles long, id long, point binary, key long, chunk long, blob binary"
-ROWS = "token long, id long, n_sets long, members binary"
+ROWS = "token long, id long, n_sets long, early boolean, members binary"
 _U = np.uint64
 _TOP = _U(1 << 63)
 
@@ -151,6 +153,11 @@ def _prefix(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, sizes - -(-WHOLE * sizes // PART) + 1, 0)
 
 
+def _early(sizes: np.ndarray) -> np.ndarray:
+    """Tokens of each set among which is the least that it shares with a linked set of its size or larger."""
+    return np.where(sizes > 0, sizes - -(-2 * WHOLE * sizes // (PART + WHOLE)) + 1, 0)
+
+
 def _prefix_tokens(sizes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = _prefix(sizes)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -215,13 +222,14 @@ def _sets(hot: Hot, n_buckets: int):
             first[real[np.unique(ids[real], return_index=True)[1]]] = True
             n, looked = _prefix_tokens(sizes, tokens)
             keep = np.repeat(first, n)
-            looked, owner = looked[keep], np.repeat(np.arange(len(ids)), n)[keep]
+            early = np.arange(len(looked)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(_early(sizes), n)
+            looked, early, owner = looked[keep], early[keep], np.repeat(np.arange(len(ids)), n)[keep]
             home = (mix(looked) % _U(n_buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             out: list[tuple[int, bytes]] = []
             for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
                 docs, at = np.unique(owner[own], return_inverse=True)
-                out.append((int(home[own[0]]), np.array([len(own), len(docs)], "<i8").tobytes() + looked[own].tobytes() + ids[docs].tobytes() + at.astype("<u4" if len(docs) > 1 << 16 else "<u2").tobytes()))
+                out.append((int(home[own[0]]), np.array([len(own), len(docs)], "<i8").tobytes() + looked[own].tobytes() + ids[docs].tobytes() + at.astype("<u4" if len(docs) > 1 << 16 else "<u2").tobytes() + np.packbits(early[own]).tobytes()))
             none = pa.nulls(len(out), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(out), pa.binary()), pa.array([k for k, _ in out], pa.int64()), pa.array([chunk] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], _NAMES)
 
@@ -231,39 +239,41 @@ def _sets(hot: Hot, n_buckets: int):
 _NAMES = [x.split()[0] for x in SETS.split(", ")]
 
 
-def _of_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and their sets' ids."""
+def _of_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their sets' ids, and which are early in their set."""
     n, docs = np.frombuffer(blob, "<i8", 2).tolist()
     tokens, ids = np.frombuffer(blob, _U, n, 16), np.frombuffer(blob, _U, docs, 16 + 8 * n)
-    return tokens, ids[np.frombuffer(blob, "<u4" if docs > 1 << 16 else "<u2", n, 16 + 8 * (n + docs))]
+    at = np.frombuffer(blob, "<u4" if docs > 1 << 16 else "<u2", n, 16 + 8 * (n + docs))
+    return tokens, ids[at], np.unpackbits(np.frombuffer(blob, np.uint8, -1, 16 + 8 * (n + docs) + at.nbytes), count=n).astype(bool)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's blobs (key, chunk, blob) to ROWS of the tokens that two sets hold; a token's first row has a 128-bit hash of its sets."""
+    """A bucket's blobs (key, chunk, blob) to ROWS of the tokens that two sets hold, early in one of them; a token's first row has a 128-bit hash of its sets and of where it is early."""
     rows = ((k, b) for batch in batches for k, b in zip(batch.column("key").to_pylist(), batch.column("blob").to_pylist(), strict=True))
     for _, group in groupby(rows, key=lambda r: r[0]):
-        token, owner = (np.concatenate(x) for x in zip(*(_of_blob(b) for _, b in group), strict=True))
+        token, owner, early = (np.concatenate(x) for x in zip(*(_of_blob(b) for _, b in group), strict=True))
         order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        token, owner, early = token[order], owner[order], early[order]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         n = np.diff(np.concatenate((begin, [len(token)])))
         keep = np.repeat(n > 1, n)  # the others are of one set
-        token, owner = token[keep], owner[keep]
+        token, owner, early = token[keep], owner[keep], early[keep]
         order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
+        token, owner, early = token[order], owner[order], early[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[new], owner[new]
+        token, owner, early = token[new], owner[new], early[new]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate((begin, [len(token)])))
+        good = (n > 1) & (np.logical_or.reduceat(early, begin) if len(begin) else False)
         members = np.full(len(token), None, object)
-        for i, k in zip(begin[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-            members[i] = xxhash.xxh3_128_digest(owner[i : i + k].tobytes())
-        n = np.repeat(n, n)
-        token, owner, members, n = token[n > 1], owner[n > 1], members[n > 1], n[n > 1]
+        for i, k in zip(begin[good].tolist(), n[good].tolist(), strict=True):
+            members[i] = xxhash.xxh3_128_digest(owner[i : i + k].tobytes() + early[i : i + k].tobytes())
+        good, n = np.repeat(good, n), np.repeat(n, n)
+        token, owner, early, members, n = token[good], owner[good], early[good], members[good], n[good]
         for a in range(0, len(token), 20_000):
             z = slice(a, a + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[z].view(np.int64)), pa.array(owner[z].view(np.int64)), pa.array(n[z], pa.int64()), pa.array(members[z].tolist(), pa.binary())], ["token", "id", "n_sets", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[z].view(np.int64)), pa.array(owner[z].view(np.int64)), pa.array(n[z], pa.int64()), pa.array(early[z]), pa.array(members[z].tolist(), pa.binary())], ["token", "id", "n_sets", "early", "members"])
 
 
 class CountTree:
@@ -466,13 +476,17 @@ def _least(node: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _near_in_size(rows: DataFrame) -> DataFrame:
-    """Rows (token, id, n_sets, n_shingles) without the sets that no other set of their token is near enough in size to link with, so that their points don't travel; tokens of over BLOCK sets stay whole."""
-    by_size = Window.partitionBy("token").orderBy("n_shingles")
-    n, less, more = F.col("n_shingles"), F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
+    """Rows (token, id, n_sets, n_shingles, early), less early, without the sets that have no partner in their token, so that their points don't travel; tokens of over BLOCK sets stay whole.
+
+    A partner is near enough in size to link, and the token is early in the smaller one (of equal sizes in either).
+    """
+    by_size = Window.partitionBy("token").orderBy("n_shingles", F.desc("early"))
+    n, more = F.col("n_shingles"), F.lead("n_shingles").over(by_size)
+    less = F.last(F.when(F.col("early"), n), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     # The next in size is the nearest, so if it is too far all are.
-    near = F.coalesce(F.lit(PART) * less >= F.lit(WHOLE) * n, F.lit(False)) | F.coalesce(F.lit(PART) * n >= F.lit(WHOLE) * more, F.lit(False))
-    few = rows.filter(F.col("n_sets") <= BLOCK).withColumn("_near", near).filter("_near").drop("_near")
-    return few.unionByName(rows.filter(F.col("n_sets") > BLOCK))
+    near = F.coalesce(F.lit(PART) * less >= F.lit(WHOLE) * n, F.lit(False)) | (F.col("early") & F.coalesce(F.lit(PART) * n >= F.lit(WHOLE) * more, F.lit(False)))
+    few = rows.filter(F.col("n_sets") <= BLOCK).withColumn("_near", near).filter("_near").drop("_near", "early")
+    return few.unionByName(rows.filter(F.col("n_sets") > BLOCK).drop("early"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -699,6 +699,28 @@ def test_jaccard_join_leaves_out_sets_far_in_size(spark, monkeypatch):
     assert got == {i: {last: 0, last + 1: 1}.get(i, i) for i in range(last + 2)}
 
 
+def test_jaccard_join_leaves_out_tokens_early_in_no_set(spark, monkeypatch):
+    """Tokens that no set has among its first ninth never come to the trees; sets of all sizes about the limit link as by brute force."""
+    import pyarrow as pa
+
+    rng, texts = random.Random(13), []
+    for n in list(range(5, 60, 4)) + [100, 150, 200]:
+        base = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in (0.5, 0.8, 0.82, 0.86, 0.9, 0.95):
+            k = max(1, round(n * share))
+            other = [f"v{rng.randrange(10**7)}" for _ in range(n - k)]
+            texts += [" ".join(base[:k]), " ".join(base[:k] + other[: (n - k) // 2]), " ".join(base[n - k :] + other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, plain = [], jaccard_join._join_in_trees
+    monkeypatch.setattr(jaccard_join, "_join_in_trees", lambda rows, best: seen.append({r["token"] for r in rows.select("token").collect()}) or plain(rows, best))
+    assert sorted(map(tuple, jaccard_join.link(docs).collect()), key=str) == components([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    sizes, tokens = jaccard_join.shingle_sets(pa.array(texts))
+    first = sizes.cumsum() - sizes
+    early = {t for a, n in zip(first.tolist(), sizes.tolist(), strict=True) for t in tokens[a : a + n - -(-160 * n // 180) + 1].tolist()}
+    assert seen[0] and seen[0] <= early
+
+
 def test_jaccard_join_of_a_frequent_token_and_long_sets(spark, monkeypatch):
     """Thousands of unlike sets share a token; sets of all sizes, some of thousands of tokens, link as by brute force."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
