@@ -308,6 +308,30 @@ def test_line_dedup_of_a_large_band(spark):
     assert gone <= set(range(1500, 1700)) and len(gone) > 190
 
 
+def test_line_dedup_verifies_few_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies of one passage with few to many edits: all similar pairs that share a band end in one group, and what is verified doesn't grow with the square."""
+    rng, verified, seen = random.Random(10), line_dedup.verified, []
+    passage = [f"p{rng.randrange(10**4):04d}" for _ in range(60)]
+    texts = [" ".join(f"e{rng.randrange(10**5):05d}" if rng.random() < edits else w for w in passage) for edits in (0.02, 0.06, 0.12, 0.2) for _ in range(100)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    keys = {i: set() for i in range(len(texts))}
+    for r in line_dedup.keys(lines).collect():
+        keys[r["id"]] |= set(r["keys"])
+    sets, group = [shingles_of(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {i for i in range(len(texts)) if i > min(k for k in range(len(texts)) if group[k] == group[i])}
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, known: seen.append(pairs.count()) or verified(pairs, known))
+    monkeypatch.setattr(line_dedup, "SMALL", 2, raising=False)
+    monkeypatch.setattr(line_dedup, "BLOCK", 100, raising=False)
+    got = {r["doc_id"] for r in line_dedup.dedup(lines.toDF("doc_id", "text")).filter("n_removed = 1").collect()}
+    assert got == want and 100 < len(want) < len(texts) - 50
+    assert sum(seen) < 12 * len(texts)
+
+
 # 4
 
 
