@@ -511,6 +511,31 @@ def test_weights_are_trained_on_all_windows(spark, monkeypatch):
     assert len(seen) == 4 and (got >= np.bincount(want, minlength=m.cls.max() + 1)).all() and got.sum() < want.size + 2 * lm_scoring.WINDOW * 2
 
 
+def test_large_inputs_are_trained_by_tasks(spark, monkeypatch):
+    """Beyond TRAINED_HERE subwords tasks train, on every subword; the driver gets no ids, and the weights learn what stands two words before."""
+    import numpy as np
+
+    rng, trained = random.Random(11), []
+    texts = []
+    for _ in range(300):
+        text = ["red"]
+        while len(text) < rng.choice([3, 80, 81]):
+            text += [rng.choice(["one", "two"]), {"red": "blue", "blue": "green", "green": "red"}[text[-1]]]
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for name, value in (("TRAINED_HERE", 0), ("DOCS_PER_BLOCK", 60), ("SLICES", 3), ("BATCH", 1)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    monkeypatch.setattr(lm_scoring, "train_here", lambda *a: pytest.fail("ids came to the driver"))
+    plain = lm_scoring.averaged
+    monkeypatch.setattr(lm_scoring, "averaged", lambda parts: trained.append([n for n, _ in parts]) or plain(parts))
+    m = lm_scoring.learn(docs, lm_scoring.default_ranks())
+    ids = lm_scoring.subwords([t.encode() for t in texts], lm_scoring.default_ranks())
+    assert sum(map(sum, trained)) == sum(map(len, ids)) and len(trained) > 2 and max(map(len, trained)) == 3
+    size = np.array([len(x) for x in ids])
+    with_it, without = (m.score(np.concatenate(ids), size, attention=a).sum() for a in (True, False))
+    assert with_it > 0.8 * without  # natural logarithms, below zero
+
+
 def test_driver_holds_ids_of_one_block_at_a_time(spark, monkeypatch):
     """Training takes about two bytes a subword of one block in the driver, however many blocks there are, and no window twice."""
     import gc
