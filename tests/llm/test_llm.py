@@ -277,6 +277,28 @@ def test_line_dedup_recall(spark):
     assert not gone & different and not {i for i in gone if i >= len(texts)}
 
 
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_components(spark, monkeypatch, held):
+    """Paths, stars, self-links, repeated and null links, by rounds and in the driver, which takes one pass over the links."""
+    from symgraph.llm import components
+
+    rng = random.Random(12)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(50)] + [(-5, -5), (-7, 2**62), (None, 3), (4, None)]
+    links += [(b, a) for a, b in links[:9]] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)]
+    group = {x: x for a, b in links if None not in (a, b) for x in (a, b)}
+    for a, b in links:
+        if None not in (a, b):
+            low, high = sorted((group[a], group[b]))
+            group = {x: low if g == high else g for x, g in group.items()}
+    monkeypatch.setattr(components, "HELD_LINKS", held)
+    made, plain = [], components.staged_with_path
+    monkeypatch.setattr(components, "staged_with_path", lambda *a: made.append(1) or plain(*a))
+    rng.shuffle(links)
+    got = [tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()]
+    assert sorted(got) == sorted(group.items()) and (len(made) == 1) == (held > 0)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_line_dedup_deals_pairs_out_by_their_characters(spark, monkeypatch):
     """Pairs of small bytes and many shingles go to as many tasks as their counts need; what is similar stays the same."""
     rng = random.Random(6)
@@ -295,6 +317,16 @@ def test_line_dedup_deals_pairs_out_by_their_characters(spark, monkeypatch):
     assert got == {(i, i + 60) for i in range(60) if 100 * len(x[i] & x[i + 60]) >= 80 * len(x[i] | x[i + 60])} and len(got) == 30
 
 
+def test_line_dedup_maps_no_line_whose_bands_are_settled(spark, monkeypatch):
+    """Pairs of copies need no maps of their shingles."""
+    rng, plain, mapped = random.Random(13), line_dedup._maps, []
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(40)]
+    texts += [t[:-1] + "z" for t in texts]
+    monkeypatch.setattr(line_dedup, "_maps", lambda own: mapped.append(own.count()) or plain(own))
+    gone = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("n_removed = 1").collect()
+    assert {r["doc_id"] for r in gone} == set(range(40, 80)) and mapped == [0]
+
+
 def test_line_dedup_of_a_large_band(spark):
     """Thousands of lines in one band, of which few are similar."""
     rng = random.Random(9)
